@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets
+from . import licenses, mixing, secrets
 from .common import table
 
 
@@ -12,9 +12,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op10_secrets)}
-ORACLES = {"op5_mixing": mixing.ORACLE, "op10_secrets": secrets.ORACLE}
+QUERIES = {f.__name__: f for f in (op5_mixing, op8_licenses, op10_secrets)}
+ORACLES = {"op5_mixing": mixing.ORACLE, "op8_licenses": licenses.ORACLE, "op10_secrets": secrets.ORACLE}
