@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, secrets
+from . import decontaminate, licenses, mixing, secrets
 from .common import table
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -20,5 +24,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op8_licenses, op10_secrets)}
-ORACLES = {"op5_mixing": mixing.ORACLE, "op8_licenses": licenses.ORACLE, "op10_secrets": secrets.ORACLE}
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_mixing, op8_licenses, op10_secrets)}
+ORACLES = {"op4_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE, "op8_licenses": licenses.ORACLE, "op10_secrets": secrets.ORACLE}
