@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, secrets
+from . import decontaminate, licenses, mixing, secrets, simhash
 from .common import table
 
 
@@ -20,9 +20,13 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_mixing, op8_licenses, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_mixing, op8_licenses, op9_simhash, op10_secrets)}
 ORACLES = {"op4_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE, "op8_licenses": licenses.ORACLE, "op10_secrets": secrets.ORACLE}
