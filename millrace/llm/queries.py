@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, secrets, simhash
+from . import decontaminate, licenses, mixing, secrets, simhash, sketches
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_mixing, op8_licenses, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_mixing, op6_fingerprints, op8_licenses, op9_simhash, op10_secrets)}
 ORACLES = {"op4_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE, "op8_licenses": licenses.ORACLE, "op10_secrets": secrets.ORACLE}
