@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, secrets, simhash, sketches
+from . import decontaminate, licenses, mixing, secrets, simhash, sketches, substrings
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_mixing, op6_fingerprints, op8_licenses, op9_simhash, op10_secrets)}
-ORACLES = {"op4_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE, "op8_licenses": licenses.ORACLE, "op10_secrets": secrets.ORACLE}
+QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_mixing, op6_fingerprints, op7_substrings, op8_licenses, op9_simhash, op10_secrets)}
+ORACLES = {"op4_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE, "op7_substrings": substrings.ORACLE, "op8_licenses": licenses.ORACLE, "op10_secrets": secrets.ORACLE}
