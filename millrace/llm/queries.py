@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, secrets, simhash, sketches, substrings
+from . import decontaminate, licenses, mixing, secrets, simhash, sketches, substrings, toxicity
 from .common import table
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,5 +40,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_mixing, op6_fingerprints, op7_substrings, op8_licenses, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_decontaminate, op5_mixing, op6_fingerprints, op7_substrings, op8_licenses, op9_simhash, op10_secrets)}
 ORACLES = {"op4_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE, "op7_substrings": substrings.ORACLE, "op8_licenses": licenses.ORACLE, "op10_secrets": secrets.ORACLE}
