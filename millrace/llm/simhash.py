@@ -24,6 +24,8 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints compared with as many others at a time.
 TILE = 16384
+#: Comparisons made at a time, in buffers that stay in a core's cache.
+BLOCK = 1 << 17
 #: Pairs of tiles up to which their table (16 bytes a pair) is broadcast.
 BROADCAST_PAIRS = 1_000_000
 PARTS = 4
@@ -129,11 +131,19 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> np.ndarray:
     """For tiles a and b (unsigned, laid end to end) the root of each member in a spanning forest of the links between them (and within, if same)."""
     parent = np.arange(len(a) + (0 if same else len(b)))
     shift = 0 if same else len(a)
-    step = max(1, (1 << 20) // max(1, len(b)))
+    step = max(1, BLOCK // max(1, len(b)))
+    differing, bits = np.empty((step, len(b)), np.uint64), np.empty((step, len(b)), np.uint8)
     for lo in range(0, len(a), step):
-        block = a[lo : lo + step]
-        i, j = np.nonzero(np.bitwise_count(block[:, None] ^ b[None, lo if same else 0 :]) <= radius)
-        i, j = i + lo, j + (lo if same else 0) + shift
+        block = a[lo : lo + step, None]
+        differ, count = differing[: len(block)], bits[: len(block)]
+        np.bitwise_xor(block, b, out=differ)
+        np.bitwise_count(differ, out=count)
+        if same:
+            count[np.arange(len(block)), np.arange(lo, lo + len(block))] = 255
+        if count.min(initial=255) > radius:
+            continue
+        i, j = np.nonzero(count <= radius)
+        i, j = i + lo, j + shift
         while True:
             x, y = parent[i], parent[j]
             differ = x != y
