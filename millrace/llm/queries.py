@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, secrets, simhash, sketches, substrings, toxicity, urls
+from . import decontaminate, licenses, mixing, secrets, simhash, sketches, substrings, toxicity, urls, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_report(table(spark, sf_dir, "pages"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,5 +48,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_urls, op3_toxicity, op4_decontaminate, op5_mixing, op6_fingerprints, op7_substrings, op8_licenses, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_urls, op2_warc, op3_toxicity, op4_decontaminate, op5_mixing, op6_fingerprints, op7_substrings, op8_licenses, op9_simhash, op10_secrets)}
 ORACLES = {"op4_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE, "op7_substrings": substrings.ORACLE, "op8_licenses": licenses.ORACLE, "op10_secrets": secrets.ORACLE}
