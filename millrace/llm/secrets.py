@@ -142,8 +142,8 @@ def redact(docs: DataFrame, mask: str = "[secret]", **how) -> DataFrame:
       (a, s) -> CASE WHEN s.start >= a.at THEN named_struct('at', s.end, 'out', concat(a.out, substring(row.text, a.at + 1, s.start - a.at), '{mask}'))
         ELSE named_struct('at', greatest(a.at, s.end), 'out', a.out) END,
       a -> concat(a.out, substring(row.text, a.at + 1)))"""
-    return rows.withColumn("s_cut", F.when(F.size("s_spans") > 0, F.expr(cut)).otherwise(F.col("row.text")))
-    return rows.select(*[(F.col("s_cut") if c == "text" else F.col("row")[c]).alias(c) for c in columns])
+    rows = rows.withColumn("s_cut", F.when(F.size("s_spans") > 0, F.expr(cut)).otherwise(F.col("row.text")))
+    return rows.select(*[(F.col("s_cut") if c == "text" else F.col("row").getField(c)).alias(c) for c in columns])
 
 
 def _oracle_spans(kind: str, pattern: str, group: int, least: int, test: str = "true") -> str:

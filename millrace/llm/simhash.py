@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keyed_join, written
@@ -215,11 +215,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
 
 
 def distinct_documents(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """docs with one document of each component kept, that of its smallest doc_id; of repeated rows with that id, one.
+    """docs with one document of each component kept, that of its smallest doc_id; of several rows with that id, one.
 
     Rows without a doc_id that share no fingerprint with a named one are kept. All columns are kept, whatever their names.
     """
-    judged = near_duplicates(docs, radius, tile)
-    dropped = judged.where("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    dropped = near_duplicates(docs, radius, tile).where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"))
+    named = packed.where("row_id IS NOT NULL").join(dropped, F.col("row_id") == F.col("dropped_id"), "left_anti")
+    nth = F.row_number().over(Window.partitionBy("row_id").orderBy(F.xxhash64("row.text"), F.col("row.text")))
+    named = named.withColumn("nth", nth).where("nth = 1").select("row")
+    return named.unionByName(packed.where("row_id IS NULL").select("row")).select("row.*")
