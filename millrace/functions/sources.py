@@ -1,0 +1,104 @@
+"""Table functions over source texts: function bodies, literal declarations, path references and weak assertions. Texts are parsed, never run."""
+
+from __future__ import annotations
+
+import ast
+
+from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
+
+
+def _parsed(text: str | None):
+    try:
+        return ast.parse(text or "")
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+
+
+@udtf(returnType="name string, body string")
+class FunctionDefinitions:
+    """A row per function or method of a text, by qualified name, with its normalized body; none for text that does not parse."""
+
+    def eval(self, text: str):
+        def walk(node, prefix):
+            for child in ast.iter_child_nodes(node):
+                if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                    name = f"{prefix}{child.name}"
+                    if not isinstance(child, ast.ClassDef):
+                        yield name, "\n".join(ast.dump(b) for b in child.body)
+                    yield from walk(child, name + ".")
+                else:
+                    yield from walk(child, prefix)
+
+        tree = _parsed(text)
+        if tree is not None:
+            yield from walk(tree, "")
+
+
+@udtf(returnType="name string, value string")
+class LiteralDeclarations:
+    """Top-level names bound to literals, with the literal's text."""
+
+    def eval(self, text: str):
+        tree = _parsed(text)
+        for node in tree.body if tree is not None else ():
+            targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) and node.value else []
+            for target in targets:
+                if isinstance(target, ast.Name):
+                    try:
+                        yield target.id, repr(ast.literal_eval(node.value))
+                    except (ValueError, TypeError):
+                        continue
+
+
+@udtf(returnType="reference string")
+class References:
+    """Distinct imported modules and string literals that look like relative paths."""
+
+    def eval(self, text: str):
+        tree, found = _parsed(text), set()
+        for node in ast.walk(tree) if tree is not None else ():
+            if isinstance(node, ast.Import):
+                found.update(a.name for a in node.names)
+            elif isinstance(node, ast.ImportFrom) and node.module:
+                found.add(node.module)
+            elif isinstance(node, ast.Constant) and isinstance(node.value, str) and "/" in node.value and not any(c.isspace() for c in node.value):
+                found.add(node.value)
+        for name in sorted(found):
+            yield (name,)
+
+
+@udtf(returnType="line int, rule string")
+class WeakAssertions:
+    """Assertions that cannot fail: of a constant true value, or of something compared with itself."""
+
+    def eval(self, text: str):
+        tree = _parsed(text)
+        for node in ast.walk(tree) if tree is not None else ():
+            if isinstance(node, ast.Assert):
+                test = node.test
+                if isinstance(test, ast.Constant) and test.value:
+                    yield node.lineno, "constant"
+                elif isinstance(test, ast.Tuple) and test.elts:
+                    yield node.lineno, "tuple"
+                elif isinstance(test, ast.Compare) and len(test.comparators) == 1 and ast.dump(test.left) == ast.dump(test.comparators[0]):
+                    yield node.lineno, "self comparison"
+
+
+@udtf(returnType="marker string")
+class Markers:
+    """Names of test markers that a text uses."""
+
+    def eval(self, text: str):
+        tree, found = _parsed(text), set()
+        for node in ast.walk(tree) if tree is not None else ():
+            if isinstance(node, ast.Attribute) and isinstance(node.value, ast.Attribute) and node.value.attr == "mark":
+                found.add(node.attr)
+        for name in sorted(found):
+            yield (name,)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the table functions callable from SQL."""
+    for name, f in (("function_definitions", FunctionDefinitions), ("literal_declarations", LiteralDeclarations), ("source_references", References), ("weak_assertions", WeakAssertions), ("test_markers", Markers)):
+        spark.udtf.register(name, f)
