@@ -57,11 +57,12 @@ def fence_fits(held: Column, ready: Column, output: Column, capacity: Column) ->
 def admission(need: Column, obligations: Column, capacity: Column, lone: Column | None = None) -> Column:
     """struct(admit, reason, permanent): a need beyond capacity never fits, one beyond what is left does not now; a lone unit is exempt from the latter."""
     alone = lone if lone is not None else F.lit(False)
+    verdict = lambda admit, reason, permanent: F.struct(F.lit(admit).alias("admit"), F.lit(reason).cast("string").alias("reason"), F.lit(permanent).alias("permanent"))
     return (
-        F.when(capacity.isNull(), F.struct(F.lit(False).alias("admit"), F.lit("capacity unknown").alias("reason"), F.lit(False).alias("permanent")))
-        .when(need > capacity, F.struct(F.lit(False), F.lit("never fits"), F.lit(True)))
-        .when((need + obligations > capacity) & ~alone, F.struct(F.lit(False), F.lit("no room now"), F.lit(False)))
-        .otherwise(F.struct(F.lit(True), F.lit(None).cast("string"), F.lit(False)))
+        F.when(capacity.isNull(), verdict(False, "capacity unknown", False))
+        .when(need > capacity, verdict(False, "never fits", True))
+        .when((need + obligations > capacity) & ~alone, verdict(False, "no room now", False))
+        .otherwise(verdict(True, None, False))
     )
 
 

@@ -88,20 +88,19 @@ def connected(edges: DataFrame) -> DataFrame:
 def roots(parents: DataFrame) -> DataFrame:
     """(node, root, depth, cyclic) of parents(node, parent): the top of each node's chain, or the smallest node of the cycle it runs into.
 
-    Chains double each round: after k rounds a node knows its ancestor 2**k steps up, or the end.
+    A root is its own ancestor at distance 0, and a parent that is no node is a root. Each round doubles the steps up; once
+    they exceed the number of nodes, an ancestor that is no root lies on a cycle.
     """
-    up = _settled(parents.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.least("node", F.coalesce("parent", "node")).alias("least")))
-    n = max(1, up.count())
-    for _ in range(n.bit_length() + 1):
+    tops = parents.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct().join(parents, "node", "left_anti")
+    rows = parents.select("node", "parent").unionByName(tops.select("node", F.lit(None).cast(dict(parents.dtypes)["parent"]).alias("parent")))
+    up = _settled(rows.select("node", F.coalesce("parent", "node").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"), F.least("node", "parent").alias("least")))
+    for _ in range(up.count().bit_length()):
         far = up.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("least").alias("least2"))
-        up = _settled(
-            up.join(far, "up", "left").select("node", F.when(F.col("up").isNull(), F.col("up")).otherwise(F.col("up2")).alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.least("least", "least2").alias("least"), F.when(F.col("up2").isNull() & F.col("up").isNotNull(), F.col("up")).alias("last"))
-            if "last" not in up.columns
-            else up.join(far, "up", "left").select("node", F.when(F.col("up").isNull(), F.col("up")).otherwise(F.col("up2")).alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.least("least", "least2").alias("least"), F.coalesce("last", F.when(F.col("up2").isNull() & F.col("up").isNotNull(), F.col("up"))).alias("last"))
-        )
-        if up.where("up IS NOT NULL").isEmpty():
-            break
-    return up.select("node", F.when(F.col("up").isNotNull(), F.col("least")).otherwise(F.coalesce("last", "node")).alias("root"), F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), F.col("up").isNotNull().alias("cyclic"))
+        up = _settled(up.join(far, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), F.least("least", "least2").alias("least")))
+    end = up.select(F.col("node").alias("up"), F.col("depth").alias("end_depth"), F.col("least").alias("end_least"))
+    cyclic = F.col("end_depth") > 0
+    out = up.join(end, "up").select("node", F.when(cyclic, F.col("end_least")).otherwise(F.col("up")).alias("root"), F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"))
+    return out.join(parents.select("node"), "node", "left_semi")
 
 
 def chosen_parent(nodes: DataFrame) -> DataFrame:

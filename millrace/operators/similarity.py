@@ -18,16 +18,22 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with value computed once: the lambda's variable stands for it, where a plain column would be written out at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingles(words: Column, k: int = SHINGLE) -> Column:
     """Distinct 64-bit hashes of the runs of k words; none for fewer words."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, k), " ")))
-    return F.when(F.size(words) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, k), " ")))
+    return _bound(words, lambda w: F.when(F.size(w) >= k, F.array_distinct(runs(w))).otherwise(F.array().cast("array<bigint>")))
 
 
 def band_keys(grams: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """A MinHash signature of bands * rows minima, hashed by band. Each minimum is over the grams mixed with an odd factor of its own."""
-    mixed = lambda i: F.array_min(F.transform(grams, lambda g: F.xxhash64(g, F.lit(i))))
-    return F.array(*[F.xxhash64(F.lit(b), *[mixed(b * rows + r) for r in range(rows)]) for b in range(bands)])
+    """A MinHash signature of bands * rows minima, hashed by band. Each minimum is over the grams hashed with a number of its own."""
+    least = lambda g: F.transform(F.sequence(F.lit(0), F.lit(bands * rows - 1)), lambda i: F.array_min(F.transform(g, lambda x: F.xxhash64(x, i))))
+    keys = lambda m: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(m, b * rows + 1, rows)))
+    return _bound(grams, lambda g: _bound(least(g), keys))
 
 
 def near_duplicates(df: DataFrame, key: str, grams: str, threshold: float = 0.9, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -53,9 +53,9 @@ def sliding_max(df: DataFrame, key: Sequence[str], order: Sequence[str], value:
 def exceedance(df: DataFrame, key: Sequence[str], at: str, value: str, limit: float, gap_s: float, need: int) -> DataFrame:
     """Counts consecutive rows above a limit: a row not above it, or a gap of more than gap_s before it, starts anew; `due` from the need-th on."""
     w = Window.partitionBy(*key).orderBy(at)
-    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
     over = F.col(value) > limit
-    rows = df.withColumn("over", over).withColumn("gap", seconds - F.lag(seconds).over(w))
+    rows = df.withColumn("over", over).withColumn("gap", (micros - F.lag(micros).over(w)) / 1e6)
     reset = (~F.col("over") | F.coalesce(F.col("gap") > gap_s, F.lit(True))).cast("int")
     rows = rows.withColumn("island", F.sum(reset).over(w))
     count = F.sum(F.col("over").cast("int")).over(Window.partitionBy(*key, "island").orderBy(at))
@@ -65,8 +65,8 @@ def exceedance(df: DataFrame, key: Sequence[str], at: str, value: str, limit: fl
 def counter_rates(df: DataFrame, key: Sequence[str], at: str, counter: str, order: Sequence[str] = ()) -> DataFrame:
     """Growth of a counter per second since the row before; a fall is a reset, which has no rate."""
     w = Window.partitionBy(*key).orderBy(at, *order)
-    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1e6
-    rows = df.withColumn("delta", F.col(counter) - F.lag(counter).over(w)).withColumn("seconds", seconds - F.lag(seconds).over(w))
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = df.withColumn("delta", F.col(counter) - F.lag(counter).over(w)).withColumn("seconds", (micros - F.lag(micros).over(w)) / 1e6)
     return rows.withColumn("reset", F.col("delta") < 0).withColumn("rate", F.when((F.col("delta") >= 0) & (F.col("seconds") > 0), F.col("delta") / F.col("seconds")))
 
 
