@@ -27,6 +27,8 @@ FACTORS = 8
 #: Standard errors by which a kept slot's share differs between toxic and clean texts, and the texts that must hold it.
 MIN_Z, MIN_TEXTS = 4.0, 5
 FOLDS = 5
+#: Gradient steps of a fit, at least.
+STEPS = 3_000
 
 
 @dataclass
@@ -66,10 +68,14 @@ def terms(column: pa.Array, slot: np.ndarray | None = None, hasher: Hasher | Non
         yield lo, hi - lo, pairs // SLOTS, pairs % SLOTS
 
 
-def fit(text: np.ndarray, feature: np.ndarray, label: np.ndarray, n_features: int, epochs: int = 10, batch: int = 64, rate: float = 0.1, decay: float = 1e-3, seed: int = 1):
-    """(bias, weights, vectors) by adaptive gradient steps on the logistic loss of texts with these distinct features."""
+def fit(text: np.ndarray, feature: np.ndarray, label: np.ndarray, n_features: int, epochs: int | None = None, batch: int = 64, rate: float = 0.1, decay: float = 1e-3, seed: int = 1):
+    """(bias, weights, vectors) by adaptive gradient steps on the logistic loss of texts with these distinct features.
+
+    Without a number of epochs there are STEPS steps or 10 epochs, whichever is more.
+    """
     rng = np.random.default_rng(seed)
     n = len(label)
+    epochs = epochs or max(10, -(-STEPS * batch // max(1, n)))
     prior = (label.sum() + 0.5) / (n + 1)
     bias = float(np.log(prior / (1 - prior)))
     weights, vectors = np.zeros(n_features), rng.normal(0, 0.01, (n_features, FACTORS))
