@@ -69,7 +69,7 @@ def edges(documents: DataFrame) -> DataFrame:
 def shard_results(shards: DataFrame, expected: DataFrame) -> DataFrame:
     """Faults of collected shards(shard, complete, node) against expected(shard): a missing or partial shard, a node of two shards."""
     per = shards.groupBy("shard").agg(F.bool_and("complete").alias("complete"))
-    missing = expected.join(per, "shard", "left").where("complete IS NULL").select(F.col("shard").alias("subject"), F.lit("missing shard").alias("fault"))
-    partial = per.where("NOT complete").select(F.col("shard").alias("subject"), F.lit("partial shard").alias("fault"))
-    twice = shards.groupBy("node").agg(F.count_distinct("shard").alias("n")).where("n > 1").select(F.col("node").alias("subject"), F.lit("node in several shards").alias("fault"))
+    missing = expected.join(per, "shard", "left").where("complete IS NULL").select(F.col("shard").cast("string").alias("subject"), F.lit("missing shard").alias("fault"))
+    partial = per.where("NOT complete").select(F.col("shard").cast("string").alias("subject"), F.lit("partial shard").alias("fault"))
+    twice = shards.groupBy("node").agg(F.count_distinct("shard").alias("n")).where("n > 1").select(F.col("node").cast("string").alias("subject"), F.lit("node in several shards").alias("fault"))
     return missing.unionByName(partial).unionByName(twice)

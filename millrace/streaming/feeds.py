@@ -39,8 +39,8 @@ def changed(df: DataFrame, key: Sequence[str], order: Sequence[str], meaning: Co
     return rows.withColumn("nth", F.row_number().over(w)).withColumn("was", F.lag("meaning").over(w)).where("nth = 1 OR NOT (meaning <=> was)").drop("nth", "was", "meaning")
 
 
-def changed_stream(stream: DataFrame, key: str, meaning: str, order: str, idle_ms: int = 3_600_000) -> DataFrame:
-    """The streaming twin of changed: (key, order, meaning) is emitted when a key's meaning differs from the last; idle keys are forgotten."""
+def changed_stream(stream: DataFrame, key: str, meaning: str, order: str, idle_ms: int | None = None) -> DataFrame:
+    """The streaming twin of changed: (key, order, meaning) is emitted when a key's meaning differs from the last. With idle_ms, for continuous triggers, idle keys are forgotten."""
     kinds = dict(stream.dtypes)
     out = f"{key} {kinds[key]}, {order} {kinds[order]}, {meaning} {kinds[meaning]}"
 
@@ -55,10 +55,11 @@ def changed_stream(stream: DataFrame, key: str, meaning: str, order: str, idle_m
             keep.append(value != last)
             last = value
         state.update((last,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield rows.loc[keep, [key, order, meaning]]
 
-    return stream.groupBy(key).applyInPandasWithState(step, out, f"last {kinds[meaning]}", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, out, f"last {kinds[meaning]}", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def guard_stream(stream: DataFrame, key: str, at: str, value: str, limit: float, gap_s: float, need: int) -> DataFrame:
