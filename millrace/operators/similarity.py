@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graphs import connected, title_ratio
+from .graphs import _settled, connected, title_ratio
 
 BANDS, ROWS = 16, 4
 SHINGLE = 6
@@ -29,11 +29,16 @@ def shingles(words: Column, k: int = SHINGLE) -> Column:
     return _bound(words, lambda w: F.when(F.size(w) >= k, F.array_distinct(runs(w))).otherwise(F.array().cast("array<bigint>")))
 
 
-def band_keys(grams: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """A MinHash signature of bands * rows minima, hashed by band. Each minimum is over the grams hashed with a number of its own."""
-    least = lambda g: F.transform(F.sequence(F.lit(0), F.lit(bands * rows - 1)), lambda i: F.array_min(F.transform(g, lambda x: F.xxhash64(x, i))))
-    keys = lambda m: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(m, b * rows + 1, rows)))
-    return _bound(grams, lambda g: _bound(least(g), keys))
+def band_keys(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """sets(rep, g) to a row per band: rep, n (grams), band, a key of the band and its minima.
+
+    A MinHash signature has bands * rows minima, each over the grams hashed with a number of its own. The grams are
+    laid out as rows and the minima taken by one generated aggregate, whose partial step leaves a row per set and task.
+    """
+    minima = [F.min(F.xxhash64("gram", F.lit(i))).alias(f"m{i}") for i in range(bands * rows)]
+    signed = sets.select("rep", F.explode("g").alias("gram")).groupBy("rep").agg(F.count(F.lit(1)).cast("int").alias("n"), *minima)
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
+    return signed.select("rep", "n", F.explode(F.array_distinct(keys)).alias("band"))
 
 
 def near_duplicates(df: DataFrame, key: str, grams: str, threshold: float = 0.9, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -43,11 +48,13 @@ def near_duplicates(df: DataFrame, key: str, grams: str, threshold: float = 0.9,
     band; each is compared exactly, so none that is returned is wrong. In a band key of many members each is paired with
     those of the nearest sizes only as far as the size ratio can reach the threshold.
     """
-    sets = df.where(F.size(grams) > 0).select(F.col(key).alias("k"), F.array_sort(grams).alias("g"))
-    classes = sets.groupBy("g").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"))
-    copies = sets.join(classes.where("n > 1").select("g", "rep"), "g").where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("similarity"))
-    keyed = classes.select("rep", F.size("g").alias("n"), F.explode(F.array_distinct(band_keys(F.col("g"), bands, rows))).alias("band"))
-    shared = keyed.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("members > 1").drop("members")
+    sets = df.select(F.col(key).alias("k"), F.array_sort(grams).alias("g")).where(F.size("g") > 0)
+    sets = _settled(sets.withColumn("h", F.struct(F.xxhash64("g"), F.xxhash64(F.lit(1), "g"))))  # 128 bits name a set
+    reps = _settled(sets.groupBy("h").agg(F.min("k").alias("rep")))
+    classes = sets.join(reps, "h").where("k = rep").select("rep", "g").dropDuplicates(["rep"])
+    copies = sets.select("h", "k").join(reps, "h").where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("similarity"))
+    shared = band_keys(classes.select("rep", "g"), bands, rows)
+    shared = shared.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("members > 1").drop("members")
     left, right = shared.select("band", F.col("rep").alias("a"), F.col("n").alias("na")), shared.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"))
     pairs = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
     ga, gb = classes.select(F.col("rep").alias("a"), F.col("g").alias("ga")), classes.select(F.col("rep").alias("b"), F.col("g").alias("gb"))
