@@ -194,7 +194,7 @@ def package_of(path: Column) -> Column:
 
 def normal_strings(values: Column) -> Column:
     """Distinct non-empty strings in order."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda v: v != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != "")))
 
 
 def owner_terms(kinds: Column, tier: Column) -> Column:

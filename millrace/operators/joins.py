@@ -116,7 +116,7 @@ def roster_entry(hosts: DataFrame, roster: DataFrame) -> DataFrame:
     by_name = hosts.join(roster.select(F.col("name").alias("host"), F.col("name").alias("canonical")), "host", "left")
     alias = roster.select("name", F.explode("aliases").alias("host")).groupBy("host").agg(F.min("name").alias("by_alias"), F.count_distinct("name").alias("n"))
     out = by_name.join(alias, "host", "left")
-    return out.select("host", F.coalesce("canonical", F.when(F.col("n") == 1, F.col("by_alias"))).alias("name"), (F.col("canonical").isNull() & (F.col("n") > 1)).alias("ambiguous"))
+    return out.select("host", F.coalesce("canonical", F.when(F.col("n") == 1, F.col("by_alias"))).alias("name"), F.coalesce(F.col("canonical").isNull() & (F.col("n") > 1), F.lit(False)).alias("ambiguous"))
 
 
 def shared_aliases(roster: DataFrame) -> DataFrame:
