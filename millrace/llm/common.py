@@ -48,18 +48,19 @@ def keyed_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, total:
 
     A key held by more than total/HOT_SHARE rows is hot. Fewer than HOT_SHARE keys can be, so these are
     broadcast; the rows of all other keys are shuffled, and none of those keys holds more than that share.
-    Rows already served by the broadcast side, and rows without a key, get a random join key in the shuffle so
-    that they spread evenly. When facts_rows (counted beforehand) is at most BROADCAST_ROWS all facts are broadcast.
+    Rows already served by the broadcast side, and rows without a key, get a hash of their plain columns as join key in the
+    shuffle, so that they spread evenly and a task that runs again after a loss deals them as before. When facts_rows (counted beforehand) is at most BROADCAST_ROWS all facts are broadcast.
     """
     cols = [c for c in facts.columns if c not in (key, weight)]
     if facts_rows is not None and facts_rows <= BROADCAST_ROWS:
         return rows.join(F.broadcast(facts.drop(weight)), key, "left")
     limit = max(1, total // HOT_SHARE)
+    plain = [c for c, kind in rows.dtypes if not kind.startswith(("struct", "map", "array"))]
     hot = facts.where(F.col(weight) > limit).select(F.col(key), F.struct(*cols).alias("_hot"))
     cold = facts.where(F.col(weight) <= limit).select(F.col(key).cast("string").alias("_k"), F.struct(*cols).alias("_cold"))
     side = rows.join(F.broadcast(hot), key, "left").withColumn(
         "_k",
-        F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("\x00"), F.rand(7).cast("string"))),
+        F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("\x00"), F.xxhash64(*plain).cast("string"))),
     )
     side = side.join(cold, "_k", "left")
     return side.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in cols])
