@@ -54,12 +54,13 @@ def censored(events: DataFrame, key: str, start: str, end: str, horizon: Column)
     return out.select(key, ((F.coalesce("ended", horizon) - F.col("first_start")) / 1e6).alias("seconds"), right.alias("right_censored"), left.alias("left_censored"), F.greatest(F.col("starts") - 1, F.lit(0)).alias("retries"))
 
 
-def outcome_grid(samples: DataFrame, tests: DataFrame, archs: DataFrame, repeats: DataFrame) -> DataFrame:
+def outcome_grid(samples: DataFrame, tests: DataFrame, archs: Sequence[str], repeats: Sequence[int]) -> DataFrame:
     """Per (test, arch) the outcomes over a fixed grid of repeats, a missing sample counted as such, and a class.
 
-    The grid is the product of three declared lists, not of data rows.
+    The architectures and repeats are declared lists, laid out beside each test.
     """
-    grid = tests.select("test").withColumn("k", F.lit(1)).join(archs.withColumn("k", F.lit(1)), "k").join(repeats.withColumn("k", F.lit(1)), "k").drop("k")
+    lists = lambda name, values: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+    grid = tests.select("test", lists("arch", archs)).select("test", "arch", lists("repeat", repeats))
     cells = grid.join(samples, ["test", "arch", "repeat"], "left")
     counted = cells.groupBy("test", "arch").agg(
         F.count_if(F.col("outcome") == "passed").alias("passed"), F.count_if(F.col("outcome") == "failed").alias("failed"), F.count_if(F.col("outcome").isNull()).alias("missing")

@@ -16,7 +16,7 @@ def ring(events: DataFrame, capacity: int) -> DataFrame:
     seq is dense within an epoch, so the newest are those above the greatest less the capacity: no sort of all events.
     """
     last = events.groupBy("epoch").agg(F.max("seq").alias("last"))
-    kept = events.join(F.broadcast(last), "epoch").where(F.col("seq") > F.col("last") - capacity)
+    kept = events.join(last, "epoch").where(F.col("seq") > F.col("last") - capacity)
     return kept.withColumn("floor", F.greatest(F.col("last") - capacity + 1, F.lit(0))).drop("last")
 
 
