@@ -88,15 +88,18 @@ def connected(edges: DataFrame) -> DataFrame:
 def roots(parents: DataFrame) -> DataFrame:
     """(node, root, depth, cyclic) of parents(node, parent): the top of each node's chain, or the smallest node of the cycle it runs into.
 
-    A root is its own ancestor at distance 0, and a parent that is no node is a root. Each round doubles the steps up; once
-    they exceed the number of nodes, an ancestor that is no root lies on a cycle.
+    A root is its own ancestor at distance 0, and a parent that is no node is a root. Each round doubles the steps up, until none
+    moves; once they exceed the number of nodes, an ancestor that is no root lies on a cycle.
     """
     tops = parents.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct().join(parents, "node", "left_anti")
     rows = parents.select("node", "parent").unionByName(tops.select("node", F.lit(None).cast(dict(parents.dtypes)["parent"]).alias("parent")))
     up = _settled(rows.select("node", F.coalesce("parent", "node").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"), F.least("node", "parent").alias("least")))
     for _ in range(up.count().bit_length()):
         far = up.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("least").alias("least2"))
-        up = _settled(up.join(far, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), F.least("least", "least2").alias("least")))
+        moved = _settled(up.join(far, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), F.least("least", "least2").alias("least"), (F.col("depth2") > 0).alias("moved")))
+        up = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            break
     end = up.select(F.col("node").alias("up"), F.col("depth").alias("end_depth"), F.col("least").alias("end_least"))
     cyclic = F.col("end_depth") > 0
     out = up.join(end, "up").select("node", F.when(cyclic, F.col("end_least")).otherwise(F.col("up")).alias("root"), F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"))

@@ -25,7 +25,7 @@ def _bound(value: Column, body) -> Column:
 
 def shingles(words: Column, k: int = SHINGLE) -> Column:
     """Distinct 64-bit hashes of the runs of k words; none for fewer words."""
-    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, k), " ")))
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
     return _bound(words, lambda w: F.when(F.size(w) >= k, F.array_distinct(runs(w))).otherwise(F.array().cast("array<bigint>")))
 
 
