@@ -171,7 +171,10 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[TestItems]:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Longest verbatim matches of at least a window: doc_id, item_id, item_word, doc_word, n_words."""
+    """Longest verbatim matches of at least a window: doc_id, item_id, item_word, doc_word, n_words.
+
+    Places are word numbers from 0. Null texts match nothing; repeated rows and items match each; a null item_id is the empty string.
+    """
     out = None
     for items in _blocks(benchmark, window):
 
@@ -252,7 +255,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the rows in which a window of the benchmark occurs; all columns are kept, whatever their names."""
+    """docs without the rows in which a window of the benchmark occurs; all columns are kept, whatever their names.
+
+    Null and empty texts stay; repeated rows fall alike; nulls elsewhere do not matter. Empty docs: no rows; empty benchmark: all rows.
+    """
     at = docs.columns.index("text")
     for items in _blocks(benchmark, window):
 

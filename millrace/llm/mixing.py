@@ -86,7 +86,10 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_rate: floa
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_rate: float = MAX_RATE, seed: int = SEED) -> DataFrame:
-    """The mixed corpus: every row of docs, all its columns kept, as often as mix_plan takes it."""
+    """The mixed corpus: every row of docs, all its columns kept, as often as mix_plan takes it.
+
+    Nulls, repeated rows and empty input are as in mix_plan; an empty text is emitted as its source's rate has it.
+    """
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.struct("*").alias("_row"))
     sized = docs.select(F.col("source").cast("string").alias("source"), word_count(text_or_empty()).alias("size"))
     out = _with_rates(rows, source_rates(sized, weights, max_rate))

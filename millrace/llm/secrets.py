@@ -135,7 +135,10 @@ def secret_report(docs: DataFrame, **how) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", **how) -> DataFrame:
-    """docs with every span (base and added) of its text replaced by mask; overlapping spans become one mask. All columns are kept."""
+    """docs with every span (base and added) of its text replaced by mask; overlapping spans become one mask.
+
+    All columns are kept, whatever their names; null texts stay null; repeated rows are masked alike; empty input: no rows. Ownership is counted over all of docs.
+    """
     columns = docs.columns
     rows = judged(docs, **how).withColumn("s_spans", F.expr("array_sort(concat(s_base, s_added))"))
     cut = f"""aggregate(s_spans, named_struct('at', 0, 'out', ''),

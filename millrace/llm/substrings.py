@@ -277,7 +277,10 @@ def removal_report(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_C
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CELLS) -> DataFrame:
-    """docs, all columns kept, with each text that loses words replaced by its kept words joined by single spaces."""
+    """docs, all columns kept, with each text that loses words replaced by its kept words joined by single spaces.
+
+    Texts that lose none stay as they are, null ones null. Other cases are as in removal_report.
+    """
 
     def cut(batches):
         for batch in batches:

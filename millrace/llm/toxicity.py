@@ -23,6 +23,7 @@ from .tokens import ALNUM, Hasher, chunks, words
 MAX_TRAIN = 20_000
 SLOTS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8)
+_SHIFT = np.uint64(64 - (SLOTS.bit_length() - 1))
 FACTORS = 8
 #: Standard errors by which a kept slot's share differs between toxic and clean texts, and the texts that must hold it.
 MIN_Z, MIN_TEXTS = 4.0, 5
@@ -58,7 +59,7 @@ def terms(column: pa.Array, slot: np.ndarray | None = None, hasher: Hasher | Non
         for salt, size in enumerate((0, *PREFIXES)):
             long_ = np.flatnonzero(ends - starts >= size)
             stop = starts[long_] + size if size else ends[long_]
-            found = ((hasher(data, starts[long_], stop) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 18)).astype(np.int64) & (SLOTS - 1)
+            found = ((hasher(data, starts[long_], stop) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) >> _SHIFT).astype(np.int64)
             of = text[long_]
             if slot is not None:
                 found = slot[found]
@@ -186,7 +187,10 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
 
 
 def nontoxic(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows whose text scores `threshold` or more; all columns are kept, whatever their names."""
+    """docs without the rows whose text scores `threshold` or more; all columns are kept, whatever their names.
+
+    A null or empty text has the bias's score; repeated rows fall alike; nulls elsewhere do not matter; empty docs: no rows.
+    """
     at = docs.columns.index("text")
 
     def run(batches):

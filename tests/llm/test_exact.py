@@ -258,6 +258,17 @@ def test_sketches_estimate(spark):
     assert (sketches.decoded(sketches.encoded(sa)) == sa).all()
 
 
+def test_sketch_table(spark, docs, no_docs, plain):
+    got = sketches.sketches(docs, k=4096).collect()
+    expected = Counter()
+    for i, t in plain:
+        w = SPACE.findall(t or "")
+        grams = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+        expected[(i, len(grams) if len(grams) < 4096 else None)] += 1
+    assert Counter((r.doc_id, int(r.n_distinct) if len(sketches.decoded(r.fingerprint)) < 4096 else None) for r in got) == expected
+    assert sketches.sketches(no_docs).count() == 0
+
+
 def spans(text):
     out = []
     kinds = (
