@@ -110,7 +110,7 @@ def reach_figures(reach: DataFrame, weights: DataFrame, total: Column) -> DataFr
     per = reach.join(weights, "file").groupBy("test").agg(F.count(F.lit(1)).alias("files"), F.sum("loc").alias("loc"))
     all_ = weights.agg(F.count(F.lit(1)).alias("n_files"), F.sum("loc").alias("n_loc"))
     return per.join(F.broadcast(all_)).agg(
-        F.avg("files").alias("mean_files"), F.expr("percentile(files, 0.5)").alias("median_files"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY files)").alias("p90_files"), F.max("files").alias("max_files"),
+        F.avg("files").alias("mean_files"), F.expr("percentile(files, 0.5)").alias("median_files"), F.expr("CAST(percentile_disc(0.9) WITHIN GROUP (ORDER BY files) AS BIGINT)").alias("p90_files"), F.max("files").alias("max_files"),
         F.avg(F.col("files") / F.col("n_files")).alias("share_files"), F.avg(F.col("loc") / F.col("n_loc")).alias("share_loc"),
     )
 

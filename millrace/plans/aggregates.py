@@ -104,7 +104,7 @@ def first_by_rank(spark, sf_dir):
 
 
 @R.query("""
-SELECT user_id, CASE WHEN count(v) = count(*) THEN sum(v) END AS used, count(*) AS n FROM (SELECT user_id, CASE WHEN event_type = 'error' AND value < 1 THEN NULL ELSE CAST(round(value * 100) AS BIGINT) END AS v FROM events) GROUP BY user_id
+SELECT user_id, CAST(CASE WHEN count(v) = count(*) THEN sum(v) END AS BIGINT) AS used, count(*) AS n FROM (SELECT user_id, CASE WHEN event_type = 'error' AND value < 1 THEN NULL ELSE CAST(round(value * 100) AS BIGINT) END AS v FROM events) GROUP BY user_id
 """)
 def poisoned_totals(spark, sf_dir):
     """Sums that one unknown reading makes unknown."""

@@ -163,7 +163,7 @@ def latest_artifacts(spark, sf_dir):
 
 
 @R.query("""
-SELECT owner, count(*) AS files, sum(b) AS bytes FROM (SELECT CAST(l_quantity AS BIGINT) AS b, CASE WHEN l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10) THEN 'owned' WHEN l_partkey IN (SELECT p_partkey FROM part WHERE p_retailprice < 1500) THEN 'source_only' ELSE 'unattributed' END AS owner FROM lineitem) GROUP BY 1
+SELECT owner, count(*) AS files, CAST(sum(b) AS BIGINT) AS bytes FROM (SELECT CAST(l_quantity AS BIGINT) AS b, CASE WHEN l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10) THEN 'owned' WHEN l_partkey IN (SELECT p_partkey FROM part WHERE p_retailprice < 1500) THEN 'source_only' ELSE 'unattributed' END AS owner FROM lineitem) GROUP BY 1
 """)
 def attribution_bytes(spark, sf_dir):
     p = load(spark, sf_dir, "part").withColumnRenamed("p_partkey", "key")
