@@ -7,8 +7,9 @@ those inside, so the number of an anchor's places is never below the number of p
 First pass: partitions count anchors in sparse count-min sketches, which are merged by ranges of cells into bitmaps of
 the cells counted twice or more. The merged sketch only overestimates. Second pass: windows
 whose anchor is estimated repeated, and no others, are grouped exactly (by anchor and window hash, 128 bits),
-after each task has kept only the first place of each window it saw. A window seen once is never sent unless
-its anchor's cells collide.
+after each task has kept only the first place of each window it saw. A window seen once is not sent unless its
+anchor is repeated or the anchor's cells collide. Windows travel by anchor; those of an anchor estimated at HOT places
+or more, such as a line that stands in a third of all documents among other words each time, travel by their own hash.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import SPACE, Hasher, chunks, normalised, window_hashes, words
+from .tokens import SPACE, Hasher, chunks, mixed, normalised, window_hashes, words
 
 WINDOW = 20
 #: Words of an anchor; a window of 20 words holds 13 of them, and about one word in seven begins an anchor.
@@ -31,6 +32,8 @@ DEPTH = 2
 RANGE_CELLS = 1 << 22
 MAX_CELLS = 1 << 28
 SHARD_BYTES = 4 << 20
+#: Places of an anchor from which its windows are spread.
+HOT = 1_000
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -67,11 +70,11 @@ def _texts(batch: pa.RecordBatch, hasher: Hasher):
         yield lo, hi, data, starts, ends, per, hasher(data, starts, ends)
 
 
-def repeated_cells(docs: DataFrame, width: int, window: int = WINDOW) -> list[np.ndarray]:
-    """The merged sketch of all anchors of docs(text): per row a bitmap of the cells that hold two places or more.
+def repeated_cells(docs: DataFrame, width: int, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The merged sketch of all anchors of docs(text): per row a bitmap of the cells that hold two places or more, and one of those with HOT or more.
 
-    A partition sends, per range of cells, those it counted once and those it counted more, packed; a task merges one
-    range. The driver gets width/8 bytes a row, which MAX_CELLS bounds.
+    A partition sends, per range of cells, those it counted once, and those it counted more with their numbers, packed;
+    a task merges one range. The driver gets width/4 bytes a row, which MAX_CELLS bounds.
     """
     span = min(RANGE_CELLS, width)
 
@@ -84,10 +87,11 @@ def repeated_cells(docs: DataFrame, width: int, window: int = WINDOW) -> list[np
                 cell, n = np.unique(cells(found, row, width), return_counts=True)
                 cut = np.searchsorted(cell, np.arange(0, width + span, span))
                 for r in range(len(cut) - 1):
-                    part, many = cell[cut[r] : cut[r + 1]] - r * span, n[cut[r] : cut[r + 1]] > 1
+                    part, times = cell[cut[r] : cut[r + 1]] - r * span, n[cut[r] : cut[r + 1]]
                     if len(part):
-                        blob = [zlib.compress(np.diff(x, prepend=0).astype(np.uint32).tobytes(), 1) for x in (part[~many], part[many])]
-                        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([r], pa.int32()), pa.array([blob[0]], pa.binary()), pa.array([blob[1]], pa.binary())], ["row", "range", "once", "more"])
+                        packed = np.diff(part[times == 1], prepend=0), np.diff(part[times > 1], prepend=0), times[times > 1]
+                        blobs = [pa.array([zlib.compress(x.astype(np.uint32).tobytes(), 1)], pa.binary()) for x in packed]
+                        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([r], pa.int32()), *blobs], ["row", "range", "once", "more", "times"])
             seen.clear()
 
         held = 0
@@ -104,19 +108,20 @@ def repeated_cells(docs: DataFrame, width: int, window: int = WINDOW) -> list[np
             yield from flush()
 
     def merge(key, parts):
-        once, more = np.zeros(span, bool), np.zeros(span, bool)
-        for a, b in zip(parts.column("once"), parts.column("more")):
-            cell = np.cumsum(np.frombuffer(zlib.decompress(a.as_py()), np.uint32).astype(np.int64))
-            more[cell] |= once[cell]
-            once[cell] = True
-            more[np.cumsum(np.frombuffer(zlib.decompress(b.as_py()), np.uint32).astype(np.int64))] = True
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([np.packbits(more).tobytes()], pa.binary())], ["row", "range", "bits"])
-
-    parts = docs.select("text").mapInArrow(count, "row int, range int, once binary, more binary")
-    bits = [np.zeros(width // 8, np.uint8) for _ in range(DEPTH)]
-    for r in parts.groupBy("row", "range").applyInArrow(merge, "row int, range int, bits binary").toLocalIterator():
-        bits[r["row"]][r["range"] * span // 8 :][: span // 8] = np.frombuffer(r["bits"], np.uint8)
-    return bits
+        unpacked = lambda x: np.frombuffer(zlib.decompress(x.as_py()), np.uint32).astype(np.int64)
+        counts = np.zeros(span, np.int64)
+        for once, more, times in zip(parts.column("once"), parts.column("more"), parts.column("times")):
+            counts[np.cumsum(unpacked(once))] += 1
+            counts[np.cumsum(unpacked(more))] += unpacked(times)
+        bits = [pa.array([np.packbits(counts >= least).tobytes()], pa.binary()) for least in (2, HOT)]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), *bits], ["row", "range", "bits", "hot"])
+
+    parts = docs.select("text").mapInArrow(count, "row int, range int, once binary, more binary, times binary")
+    out = [(np.zeros(width // 8, np.uint8), np.zeros(width // 8, np.uint8)) for _ in range(DEPTH)]
+    for r in parts.groupBy("row", "range").applyInArrow(merge, "row int, range int, bits binary, hot binary").toLocalIterator():
+        for into, name in zip(out[r["row"]], ("bits", "hot")):
+            into[r["range"] * span // 8 :][: span // 8] = np.frombuffer(r[name], np.uint8)
+    return out
 
 
 def _firsts(anchor: np.ndarray, value: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,39 +136,42 @@ def _set(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
 
 
-def repeated_windows(docs: DataFrame, bits: list[np.ndarray], width: int, window: int = WINDOW) -> DataFrame:
+def repeated_windows(docs: DataFrame, sketch: list[tuple[np.ndarray, np.ndarray]], width: int, window: int = WINDOW) -> DataFrame:
     """(doc_id, starts): words of docs(doc_id, text) at which a window starts that also starts earlier; some rows per document.
 
     A task keeps, per shard of texts, the first place of each candidate window: any later one is repeated whatever
     other tasks hold, and is returned at once. First places are grouped over all tasks by anchor, a row holding
-    the windows of one anchor; there all but the earliest are returned.
+    the windows of one place of an anchor (of a hot anchor, one window); there all but the earliest are returned.
     """
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast([b.tobytes() for b in bits])
+    shared = sc.broadcast([(b.tobytes(), hot.tobytes()) for b, hot in sketch])
 
     def candidates(batches):
-        hasher, merged = Hasher(), [np.frombuffer(b, np.uint8) for b in shared.value]
+        hasher, merged = Hasher(), [[np.frombuffer(b, np.uint8) for b in row] for row in shared.value]
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
             for lo, hi, _, _, _, per, h in _texts(batch, hasher):
                 start, at, shingle = anchors(h, per, window)
-                ok = np.ones(len(start), bool)
-                for row, m in enumerate(merged):
-                    ok &= _set(m, cells(shingle[at], row, width))
-                start, at = start[ok], at[ok]
+                ok, hot = np.ones(len(start), bool), np.ones(len(start), bool)
+                for row, (twice, often) in enumerate(merged):
+                    cell = cells(shingle[at], row, width)
+                    ok &= _set(twice, cell)
+                    hot &= _set(often, cell)
+                start, at, hot = start[ok], at[ok], hot[ok]
                 if not len(start):
                     continue
                 value, _ = window_hashes(h, per, window)
-                anchor, value = shingle[at], value[start]
+                value = value[start]
+                anchor = np.where(hot, mixed(shingle[at] + value), shingle[at])
                 doc = np.searchsorted(per, start, "right") - 1
                 order = np.lexsort((start - per[doc], ids[lo + doc], value, anchor))
-                start, at, anchor, value, doc = (x[order] for x in (start, at, anchor, value, doc))
+                start, at, hot, anchor, value, doc = (x[order] for x in (start, at, hot, anchor, value, doc))
                 first, later = _firsts(anchor, value, ids[lo + doc], start - per[doc])
                 yield from _by_document(ids[lo + doc[later]], (start - per[doc])[later])
-                start, at, anchor, value, doc = (x[first] for x in (start, at, anchor, value, doc))
-                order = np.lexsort((start, at))  # one row per place of an anchor
-                start, at, anchor, value, doc = (x[order] for x in (start, at, anchor, value, doc))
-                cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
+                start, at, hot, anchor, value, doc = (x[first] for x in (start, at, hot, anchor, value, doc))
+                order = np.lexsort((start, at))  # one row per place of an anchor, or per window of a hot one
+                start, at, hot, anchor, value, doc = (x[order] for x in (start, at, hot, anchor, value, doc))
+                cut = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | hot[1:]))) if len(at) else np.zeros(0, np.int64)
                 ends = np.append(cut, len(at)).astype(np.int32)
                 places = (start - per[doc]).astype(np.int32)
                 yield _batch(anchor[cut].view(np.int64), ids[lo + doc[cut]], pa.ListArray.from_arrays(ends, pa.array(places)), pa.ListArray.from_arrays(ends, pa.array(value.view(np.int64))))
@@ -228,8 +236,8 @@ def _with_starts(docs: DataFrame, window: int, max_cells: int) -> DataFrame:
     n_chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     width = sketch_width(int(n_chars) // 6, max_cells)
     keyed = docs.select(F.col("id").alias("doc_id"), "text")
-    bits = repeated_cells(keyed, width, window)
-    found = repeated_windows(keyed, bits, width, window).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    sketch = repeated_cells(keyed, width, window)
+    found = repeated_windows(keyed, sketch, width, window).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     return docs.join(found.withColumnRenamed("doc_id", "id"), "id", "left")
 
 

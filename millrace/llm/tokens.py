@@ -17,7 +17,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_LIMIT = (1 << 64) - 1
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit over the output."""
     x = x ^ (x >> np.uint64(33))
     x = x * _M1
@@ -29,7 +29,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _byte_codes(lower: bool) -> np.ndarray:
     """A 64-bit number per byte value; with lower, A-Z have those of a-z."""
-    codes = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+    codes = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
     if lower:
         codes[65:91] = codes[97:123]
     return codes
@@ -114,7 +114,7 @@ class Hasher:
         self._grown(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.codes[data] * self.powers[: len(data)], out=sums[1:])
-        return _mixed((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+        return mixed((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
 
 
 def window_hashes(h: np.ndarray, per: np.ndarray, size: int, base: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +128,7 @@ def window_hashes(h: np.ndarray, per: np.ndarray, size: int, base: int = 0xD6E8F
         for k in range(size):
             acc *= b
             acc += h[k : k + len(acc)]
-        out[: len(acc)] = _mixed(acc)
+        out[: len(acc)] = mixed(acc)
     room = np.repeat(per[1:], np.diff(per)) - np.arange(n)
     valid[:] = room >= size
     return out, valid

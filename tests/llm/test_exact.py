@@ -149,6 +149,22 @@ def test_sketch_counts_never_fall_short(spark):
     assert collected(substrings.removal_report(docs, window=3)) == brute_removal(docs, 3)
 
 
+def test_windows_of_hot_anchors_are_spread(spark, monkeypatch):
+    """A common line among other words each time, and within a common passage; every anchor counts as hot from three places on."""
+    import random
+
+    monkeypatch.setattr(substrings, "HOT", 3)
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    line, passage = [word() for _ in range(12)], [word() for _ in range(60)]
+    rows = []
+    for i in range(60):
+        w = [word() for _ in range(15)] + line + [word() for _ in range(15)] + (passage[i % 9 :] if i % 3 else [])
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert collected(substrings.removal_report(docs)) == brute_removal(docs, 20)
+
+
 def brute_removal(docs, size):
     seen, out = {}, Counter()
     for i, t in sorted(map(tuple, docs.select("doc_id", "text").collect())):
