@@ -29,9 +29,9 @@ WINDOW = 20
 ANCHOR = 8
 DEPTH = 2
 #: Cells of a sketch row merged by one task, and the most cells of a row. A row has about two cells per expected anchor up to that; beyond, more windows pass.
-RANGE_CELLS = 1 << 22
+RANGE_CELLS = 1 << 21
 MAX_CELLS = 1 << 28
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Places of an anchor from which its windows are spread.
 HOT = 1_000
 _STEP = 0x9E3779B97F4A7C15
