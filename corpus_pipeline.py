@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate as suffixes
-from millrace.llm import mixing, secrets, simhash, toxicity
+from millrace.llm import mixing, resemblances, secrets, toxicity
 from millrace.llm.common import table, written
 
 
@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by SimHash, that with the smallest doc_id stays."""
-    return simhash.distinct_documents(docs)
+    """Of each group of documents linked by five-word shingles at a similarity of 0.8 or more, that with the smallest doc_id stays."""
+    return resemblances.distinct_documents(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("simhash", drop_near_duplicates),
+    ("near-duplicates", drop_near_duplicates),
     ("decontamination", drop_contaminated),
     ("secrets", redact_secrets),
     ("mixing", mix_sources),

@@ -187,3 +187,50 @@ def test_pipeline(spark, tmp_path):
     assert set(kept[4]) <= set(kept[3])
     total = corpus_pipeline.run(spark, str(tmp_path))
     assert total.columns == columns and total.count() == docs.count()
+
+
+def test_near_copies_at_the_similarity_go(spark):
+    """Families of copies with words changed here and there, against all pairs of five-word shingle sets."""
+    import numpy as np
+
+    from millrace.llm import resemblances
+
+    rng = random.Random(12)
+    texts = []
+    for _ in range(40):
+        base = [f"v{rng.randrange(20_000)}" for _ in range(rng.randrange(40, 300))]
+        texts.append(base)
+        for _ in range(rng.randrange(4)):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), max(1, len(copy) // rng.choice([30, 40, 50, 60, 100]))):
+                copy[at] = f"z{rng.randrange(20_000)}"
+            texts.append(copy)
+    texts = [" ".join(t) for t in texts] + ["one two three", "ONE two  three", "one two", "", None, " \t"]
+    rng.shuffle(texts)
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root, between = [grams(t) for t in texts], list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j]))
+            if shared >= 0.8 or sets[i] == sets[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+                between += shared < 0.95
+    assert between > 10
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "x"), (None, texts[0], "x")], "doc_id long, text string, n string").repartition(3)
+    got = [r.doc_id for r in resemblances.distinct_documents(docs).collect()]
+    assert sorted(got, key=repr) == sorted([*set(root), None], key=repr)
+    assert resemblances.distinct_documents(docs.limit(0)).count() == 0
+    plain = [(k, set(rng.sample(range(1 << 20), 60))) for k in range(30)] + [(30 + k, set(range(k, k + 90))) for k in range(30)]
+    some = [np.sort(np.array(sorted(g), np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _, g in plain]
+    n, odd = np.array([len(g) for g in some]), resemblances.odd_sketches(some).view(np.uint64)
+    ids = np.arange(60)
+    for p, q in ((0, 0), (1, 1), (0, 1)):
+        a, b = resemblances._close(ids, ids, ids % 2, n, odd, p, q, 0.8)
+        got = {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist())}
+        want = {(i, j) for j in range(60) for i in range(j) if {i % 2, j % 2} == {p, q} and 1.8 * len(plain[i][1] & plain[j][1]) >= 0.8 * (len(plain[i][1]) + len(plain[j][1]))}
+        assert want and want <= got and all(j >= 30 for _, j in got)
