@@ -1,7 +1,7 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features (DataFrame functions only).
 
-Rules decide the URLs that they fit. The others are judged by boosted trees fitted on labelled URLs: a bounded
-sample of them, with the number of rows per suffix and its smoothed share of blocked ones as two of the features. The
+Rules decide the URLs that they fit. The others are judged by boosted trees fitted on a bounded sample of the labelled
+URLs, with the number of rows per suffix and its smoothed share of blocked ones, counted over all labelled URLs, as two of the features. The
 fitted trees become one SQL expression, so scoring is a projection inside code generation.
 """
 
@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_ROWS, keyed_join, written
 from .mixing import uniform
 
 #: Fixed values of the filter: (host, path, verdict).
@@ -97,6 +97,32 @@ def _tree_sql(node, names: Sequence[str]) -> str:
     return f"CASE WHEN {name} <= {threshold} THEN {_tree_sql(node.leftChild(), names)} ELSE {_tree_sql(node.rightChild(), names)} END"
 
 
+def with_features(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows(url, host, path, ...) with the columns FEATURES; a suffix that no labelled URL has counts 0 rows and no share.
+
+    Beyond BROADCAST_ROWS suffixes the facts are laid out for every suffix of rows, and those of hot ones alone are broadcast.
+    """
+    n = facts.count()
+    rows = rows.withColumn("suffix", suffix_of(F.col("host")))
+    total = None
+    if n > BROADCAST_ROWS:
+        held = written(rows.groupBy("suffix").agg(F.count(F.lit(1)).alias("held")).join(facts, "suffix", "left"), "suffixes")
+        facts, total = held, held.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    else:
+        facts = facts.withColumn("held", F.lit(0))
+    out = keyed_join(rows, facts, "suffix", "held", total or 0, None if n > BROADCAST_ROWS else n)
+    return out.fillna({"suffix_rows": 0.0, "suffix_share": 0.0}).withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
+
+
+def _tree_sql(node, names: Sequence[str]) -> str:
+    """A fitted tree as nested conditions over columns."""
+    if node.numDescendants() == 0:
+        return repr(float(node.prediction())) + "D"
+    split = node.split()
+    name, threshold = names[split.featureIndex()], repr(float(split.threshold())) + "D"
+    return f"CASE WHEN {name} <= {threshold} THEN {_tree_sql(node.leftChild(), names)} ELSE {_tree_sql(node.rightChild(), names)} END"
+
+
 def with_features(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """rows(url, host, path, ...) with the columns FEATURES; a suffix that no labelled URL has counts 0 rows and no share."""
     rows = rows.withColumns(lexical(F.col("url"), F.col("host"), F.col("path"))).withColumn("suffix", suffix_of(F.col("host")))
@@ -106,19 +132,19 @@ def with_features(rows: DataFrame, facts: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> tuple[DataFrame, str]:
     """(suffix facts, SQL of the log odds over FEATURES) from labelled(url, label), label 1 for URLs to block.
 
-    A sample of about max_train rows, chosen by the URLs' hash, bounds the facts and what the trees see. Rows without URL
+    The facts cover all rows; a sample of about max_train rows, chosen by the URLs' hash, bounds what the trees see. Rows without URL
     or label are left out. No rows, or labels of one kind: the log odds are those of the base rate.
     """
     known = labelled.where("url IS NOT NULL AND label IS NOT NULL").select("url", F.col("label").cast("double").alias("label"))
-    share = min(1.0, max_train / max(1, known.count()))
+    facts = written(suffix_facts(known.select(suffix_of(host_of(F.col("url"))).alias("suffix"), "label")), "suffixes")
+    share = min(1.0, max_train / max(1, facts.agg(F.coalesce(F.sum("suffix_rows"), F.lit(0.0))).first()[0]))
     sample = known.where(uniform(F.col("url"), seed) < share)
-    sample = sample.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("suffix", suffix_of(F.col("host")))
+    sample = sample.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     sample = written(sample, "urls")
-    facts = written(suffix_facts(sample), "suffixes")
     n, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not n or positive in (0, n):
         return facts, "0D" if not n else ("8D" if positive else "-8D")
-    train = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(with_features(sample.drop("suffix"), facts)).select("vector", "label")
+    train = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(with_features(sample, facts)).select("vector", "label")
     model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed, checkpointInterval=-1).fit(train)
     parts = [f"{float(w)!r}D * ({_tree_sql(t._call_java('rootNode'), FEATURES)})" for t, w in zip(model.trees, model.treeWeights)]
     return facts, f"2D * ({' + '.join(parts)})"

@@ -46,6 +46,20 @@ def test_url_rules_and_trees(spark):
     assert {r.verdict for r in urls.url_report(pages.where("page_id >= 100"), one_kind).collect()} == {"allow"}
 
 
+def test_suffix_facts_cover_all_labelled_urls(spark, monkeypatch):
+    """Counts and shares do not shrink with the sample that the trees see, and are alike broadcast or shuffled."""
+    rows = [(f"https://a{i}.s{i % 40}.host.test/{i}", int(i % 40 < 4)) for i in range(800)]
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    facts, _ = urls.fit(labelled, max_train=60, trees=1)
+    got = {r.suffix: (r.suffix_rows, r.suffix_share) for r in facts.collect()}
+    assert got == {f"s{k}.host.test": (20.0, 20 / 30 if k < 4 else 0.0) for k in range(40)}
+    pages = spark.createDataFrame([(u, urls.SEED_WORDS[0]) for u, _ in rows[:90]] + [("no host", "x")] * 30, "url string, more string")
+    pages = pages.select("*", urls.host_of(pages.url).alias("host"), urls.path_of(pages.url).alias("path"))
+    broadcast = sorted(map(repr, urls.with_features(pages, facts).select("url", *urls.FEATURES).collect()))
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 3)
+    assert sorted(map(repr, urls.with_features(pages, facts).select("url", *urls.FEATURES).collect())) == broadcast
+
+
 def test_trees_sql_equals_the_model(spark):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
