@@ -1,9 +1,10 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 Terms are a text's words (A-Z lower-cased) and the first four to eight bytes of each longer word, hashed into a fixed number of
-slots. A slot's share among toxic and among clean training texts is compared, and those that differ clearly are
-kept. Over these the machine learns a weight each and, through a short vector each, a weight for every
-pair: an insult beside a mention of a group may count for more than the two apart.
+slots. A slot is kept if its share among toxic and among clean training texts differs clearly, or if it is a word that
+takes part in a telling pair: one whose two words stand together in another share of the toxic texts that hold the first than of the
+clean ones. Over these the machine learns a weight each and, through a short vector each, a weight for every
+pair: an insult beside a mention of a group may count for more than the two apart, though neither tells anything alone.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ _SHIFT = np.uint64(64 - (SLOTS.bit_length() - 1))
 FACTORS = 8
 #: Standard errors by which a kept slot's share differs between toxic and clean texts, and the texts that must hold it.
 MIN_Z, MIN_TEXTS = 4.0, 5
+#: Words, the most widespread of the training texts, whose pairs are all tested, and the log likelihood ratio (twice) that a telling pair has.
+PAIR_WORDS, MIN_RATIO = 2048, 36.0
 FOLDS = 5
 #: Gradient steps of a fit, at least.
 STEPS = 3_000
@@ -49,14 +52,17 @@ class Machine:
         return self.bias + np.bincount(text, self.weights[feature], n) + 0.5 * ((sums**2).sum(1) - squares)
 
 
-def terms(column: pa.Array, slot: np.ndarray | None = None, hasher: Hasher | None = None):
-    """(first row, rows, text, slot) per chunk: the distinct slots of each text in order of text; with `slot`, kept ones, by their place."""
+def terms(column: pa.Array, slot: np.ndarray | None = None, hasher: Hasher | None = None, sizes: tuple[int, ...] = (0, *PREFIXES)):
+    """(first row, rows, text, slot) per chunk: the distinct slots of each text in order of text; with `slot`, kept ones, by their place.
+
+    sizes are the bytes of the word beginnings to take, 0 for whole words.
+    """
     hasher = hasher or Hasher(lower=True)
     for lo, hi, data, offsets in chunks(column):
         starts, ends, per = words(data, offsets, ALNUM)
         text = np.repeat(np.arange(hi - lo), np.diff(per))
         pairs = []
-        for salt, size in enumerate((0, *PREFIXES)):
+        for salt, size in enumerate(sizes):
             long_ = np.flatnonzero(ends - starts >= size)
             stop = starts[long_] + size if size else ends[long_]
             found = ((hasher(data, starts[long_], stop) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) >> _SHIFT).astype(np.int64)
@@ -107,49 +113,91 @@ def fit(text: np.ndarray, feature: np.ndarray, label: np.ndarray, n_features: in
     return bias, weights, vectors
 
 
+def telling_words(text: np.ndarray, word: np.ndarray, label: np.ndarray, n_words: int) -> np.ndarray:
+    """Which of the words take part in a telling pair, from the distinct (text, word) pairs of texts with these labels.
+
+    Of the toxic and of the clean texts that hold a word, the shares that hold another are compared by their likelihood
+    ratio; pairs that fewer than MIN_TEXTS texts hold tell nothing. All pairs of words are counted.
+    """
+    both = np.zeros((2, n_words, n_words), np.float32)
+    step = max(1, (1 << 22) // max(1, n_words))
+    for lo in range(0, len(label), step):
+        part = slice(*np.searchsorted(text, (lo, lo + step)))
+        held = np.zeros((min(step, len(label) - lo), n_words), np.float32)
+        held[text[part] - lo, word[part]] = 1
+        for k in (0, 1):
+            some = held[label[lo : lo + step] == k]
+            both[k] += some.T @ some
+    alone = np.stack([np.diagonal(both[k]) for k in (0, 1)]).astype(np.float64)
+    telling = np.zeros(n_words, bool)
+    entropy = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+    for lo in range(0, n_words, 256):
+        n, hit = alone[:, lo : lo + 256, None], both[:, lo : lo + 256].astype(np.float64)
+        miss, (total, hits) = n - hit, (n.sum(0), hit.sum(0))
+        ratio = 2 * ((entropy(hit) + entropy(miss) - entropy(n)).sum(0) - entropy(hits) - entropy(total - hits) + entropy(total))
+        first, second = np.nonzero((ratio >= MIN_RATIO) & (hits >= MIN_TEXTS))
+        telling[lo + first] = telling[second] = True
+    return telling
+
+
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed: int = 5) -> Machine:
     """A machine fitted on at most about max_train of the texts that labels(doc_id, toxic) marks.
 
-    Rows without a label or doc_id are left out; of several labels of a doc_id the largest holds. The driver receives a
-    count per slot (at most SLOTS) and the kept slots of the sampled texts.
+    Rows without a label or doc_id are left out; of several labels of a doc_id the largest holds, of several texts that of
+    the smallest hash, so the result does not depend on the order of rows. Null and empty texts have no terms. Pairs are
+    sought among the PAIR_WORDS words that most training texts hold; a pair of rarer words stands in too few of them to be
+    learnt. The driver receives a count per slot (at most SLOTS) and the kept slots of the sampled texts. No label, or labels of one
+    kind: no slot is kept, and the bias is the base rate.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, max_train / max(1, known.count()))
     sample = known.where(uniform(F.col("doc_id"), seed) < share)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    texts = written(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("th"), "text")).alias("t"), F.max("toxic").alias("toxic"))
+    texts = written(texts.select("doc_id", F.col("t.text").alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic")), "labelled")
 
     def count(batches):
-        held = np.zeros((2, SLOTS), np.int64)
+        held = np.zeros((3, SLOTS), np.int64)
         for batch in batches:
             label = np.asarray(batch.column("toxic"))
             for lo, n, text, found in terms(batch.column("text")):
                 for k in (0, 1):
                     held[k] += np.bincount(found[label[lo + text] == k], minlength=SLOTS)
+            for _, _, _, found in terms(batch.column("text"), sizes=(0,)):
+                held[2] += np.bincount(found, minlength=SLOTS)
         some = np.flatnonzero(held.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[0][some]), pa.array(held[1][some])], ["slot", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, *held[:, some])], ["slot", "clean", "toxic", "words"])
 
     n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
-    slot = np.full(SLOTS, -1, np.int64)
+    slot, alone, pairable = np.full(SLOTS, -1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if clean and toxic:
-        found = texts.mapInArrow(count, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas().sort_values("slot")
+        found = texts.mapInArrow(count, "slot long, clean long, toxic long, words long").groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "words")]).toPandas().sort_values("slot")
         p = (found["clean"] + found["toxic"]) / (clean + toxic)
         z = (found["toxic"] / toxic - found["clean"] / clean) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / toxic + 1 / clean))
-        kept = found["slot"][(z.abs() >= MIN_Z) & (found["clean"] + found["toxic"] >= MIN_TEXTS)].to_numpy()
-        slot[kept] = np.arange(len(kept))
+        alone = found["slot"][(z.abs() >= MIN_Z) & (found["clean"] + found["toxic"] >= MIN_TEXTS)].to_numpy()
+        words_ = found[(found["words"] >= MIN_TEXTS) & ~found["slot"].isin(alone)].sort_values(["words", "slot"], ascending=[False, True])
+        pairable = words_["slot"].to_numpy()[:PAIR_WORDS]
+        slot[alone], slot[pairable] = np.arange(len(alone)), len(alone) + np.arange(len(pairable))
 
     def gather(batches):
         for batch in batches:
             for lo, n, text, found in terms(batch.column("text"), slot):
                 cut = np.searchsorted(text, np.arange(n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("toxic").slice(lo, n), pa.ListArray.from_arrays(cut, pa.array(found))], ["doc_id", "toxic", "found"])
-
-    rows = texts.mapInArrow(gather, f"doc_id {dict(texts.dtypes)['doc_id']}, toxic int, found array<long>").toPandas()
-    rows = rows.assign(size=rows["found"].map(len)).sort_values(["doc_id", "size"], kind="stable")
-    features = np.concatenate([np.zeros(0, np.int64), *rows["found"].to_list()]).astype(np.int64)
-    text = np.repeat(np.arange(len(rows)), rows["size"].to_numpy(np.int64))
-    return Machine(slot, *fit(text, features, rows["toxic"].to_numpy(np.float64), int((slot >= 0).sum())))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("toxic").slice(lo, n), pa.ListArray.from_arrays(cut, pa.array(found.astype(np.int32)))], ["doc_id", "toxic", "found"])
+
+    rows = texts.mapInArrow(gather, f"doc_id {dict(texts.dtypes)['doc_id']}, toxic int, found array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    held = rows.column("found").combine_chunks()
+    sizes, feature = np.asarray(held.value_lengths()).astype(np.int64), np.asarray(held.flatten()).astype(np.int64)
+    label, text = np.asarray(rows.column("toxic")).astype(np.float64), np.repeat(np.arange(rows.num_rows), sizes)
+    word = feature >= len(alone)
+    telling = np.flatnonzero(telling_words(text[word], feature[word] - len(alone), label, len(pairable)))
+    slot[pairable] = -1
+    slot[pairable[telling]] = len(alone) + np.arange(len(telling))
+    place = np.full(len(alone) + len(pairable), -1, np.int64)
+    place[: len(alone)], place[len(alone) + telling] = np.arange(len(alone)), len(alone) + np.arange(len(telling))
+    keep = place[feature] >= 0
+    return Machine(slot, *fit(text[keep], place[feature[keep]], label, len(alone) + len(telling)))
 
 
 def _scores(column: pa.Array, machine: Machine, hasher: Hasher) -> np.ndarray:

@@ -170,6 +170,47 @@ def test_interactions_are_learnt():
     assert (((machine.raw(text, feature, 3000) >= 0) == (label == 1)).mean()) > 0.95
 
 
+def test_pairs_are_learnt_through_train(spark):
+    """Each word alone says nothing; the pairing of an insult with a mention of a group decides. Additive weights over the same rows cannot tell."""
+    import numpy as np
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(3000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        w = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(20, 60))] + (["clown"] if insult else ["person"]) + (["northerner"] if group else ["neighbour"])
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), int(insult == group)))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = toxicity.toxicity_report(docs.repartition(5), labels).where("held_out").toPandas()
+    truth = got.doc_id.map({i: y for i, _, y in rows})
+    assert (got.predicted == truth).mean() > 0.95
+    again = toxicity.toxicity_report(docs.repartition(2, "text"), labels).where("held_out").toPandas()
+    assert sorted(again.score) == sorted(got.score)
+    kept = toxicity.train(docs, labels.where("doc_id % 5 > 0"))
+    additive = toxicity.Machine(kept.slot, kept.bias, kept.weights, np.zeros_like(kept.vectors))
+    alone = toxicity.scored(docs.where("doc_id % 5 = 0"), additive).toPandas()
+    assert abs((alone.predicted == alone.doc_id.map({i: y for i, _, y in rows})).mean() - 0.5) < 0.15
+
+
+def test_a_rare_pair_is_kept(spark):
+    """A term in one text of twenty makes a text toxic only beside another; neither differs by MIN_Z alone."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    label = np.zeros(20_000)
+    label[:1000] = 1
+    held = rng.random((20_000, 300)) < 0.05
+    together = held[:, 0] & held[:, 1]
+    held[together & (label == 0), 0] = False
+    held[:20, :2] = True
+    held[20:1000, 0] &= rng.random(980) < 0.9
+    text, word = np.nonzero(held)
+    z = [(held[:1000, k].mean() - held[1000:, k].mean()) / np.sqrt(held[:, k].mean() * (1 - held[:, k].mean()) * (1 / 1000 + 1 / 19_000)) for k in (0, 1)]
+    assert max(map(abs, z)) < toxicity.MIN_Z
+    assert np.flatnonzero(toxicity.telling_words(text, word, label, 300)).tolist() == [0, 1]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
