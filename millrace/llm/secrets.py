@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency (DataFrame functions only).
 
 Credential-shaped spans are found by pattern; candidates are then hashed, and each hash is counted over the
-whole corpus by distinct repositories and distinct owners. A value that many owners carry is a copied example; one
-that a single owner holds looks live. Pattern spans are always reported; long opaque tokens, which no
+whole corpus by distinct repositories and distinct owners. A value that many owners or many repositories carry is a copied
+example; one that a single owner holds, in few repositories, looks live. Pattern spans are always reported; long opaque tokens, which no
 pattern names, are reported as spans only where ownership marks them live.
 """
 
@@ -23,8 +23,8 @@ HEX = r"[0-9a-f]{32,}"
 ASSIGN_MIN = 8
 #: A long token of letters and digits; its kind comes after the others.
 OPAQUE = r"[A-Za-z0-9_-]{24,}"
-#: A value held by at most this many owners looks live.
-LIVE_OWNERS = 1
+#: A value held by at most so many owners, in at most so many repositories, looks live.
+LIVE_OWNERS, LIVE_REPOSITORIES = 1, 3
 
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
@@ -84,43 +84,48 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_repo.join(by_owner, "hash").select("hash", "n_rows", "n_owners", "n_repositories")
 
 
-def judged(docs: DataFrame, owner: str = "source", repository: str = "doc_id", live_owners: int = LIVE_OWNERS, carry: list[str] | None = None) -> DataFrame:
+def judged(docs: DataFrame, owner: str = "source", repository: str = "doc_id", live_owners: int = LIVE_OWNERS, live_repositories: int = LIVE_REPOSITORIES, carry: list[str] | None = None) -> DataFrame:
     """Each row of docs (or its columns in carry) as a struct `row`, with s_base (pattern spans), s_added (live opaque spans), n_live and n_copied (their numbers of values by ownership).
 
     Null text: no spans. Repeated rows: each is judged, as one repository where they share the repository column.
-    Null owner: an owner of its own. Empty input: no rows. The corpus-wide counts come from all rows.
+    Null owner or repository: one of its own. Very long texts cost in proportion to their length. Empty input: no rows. The corpus-wide counts come from all
+    rows. The patterns run once, on the way into a table; rows without a candidate are then passed on as they are, and only the others are joined.
     """
     found = docs.select(F.struct(*(carry or ["*"])).alias("row"), F.col(owner).cast("string").alias("row_owner"), F.col(repository).cast("string").alias("row_repository"), F.col("text"))
     found = scan(found)
-    found = found.withColumn("s_cands", F.expr("transform(concat(s_base, s_opaque), s -> named_struct('span', s, 'hash', sha2(s.value, 256)))"))
-    found = found.withColumn("row_key", F.sha2(F.concat_ws("\x01", F.coalesce(F.col("row_owner"), F.lit("\x02")), F.coalesce(F.col("row_repository"), F.lit("\x02")), F.expr("sha2(coalesce(text, ''), 256)")), 256))
-    exploded = found.where("size(s_cands) > 0").select("row_key", F.col("row_owner").alias("owner"), F.col("row_repository").alias("repository"), F.explode("s_cands").alias("c"))
-    exploded = written(exploded.select("row_key", "owner", "repository", F.col("c.hash").alias("hash"), F.col("c.span").alias("span")).withColumn("span", F.expr("named_struct('start', span.start, 'rank', span.rank, 'kind', span.kind, 'end', span.end)")), "candidates")
+    found = found.select(
+        F.monotonically_increasing_id().alias("row_key"),
+        "row",
+        "row_owner",
+        "row_repository",
+        *[F.size(f"s_{kind}").cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.expr(_drop_values("s_base")).alias("s_base"),
+        F.expr("transform(concat(s_base, s_opaque), s -> named_struct('hash', sha2(s.value, 256), 'span', named_struct('start', s.start, 'rank', s.rank, 'kind', s.kind, 'end', s.end)))").alias("s_cands"),
+    )
+    found = written(found, "scan")
+    some = found.where("size(s_cands) > 0")
+    exploded = some.select("row_key", F.col("row_owner").alias("owner"), F.col("row_repository").alias("repository"), F.explode("s_cands").alias("c")).select("row_key", "owner", "repository", "c.hash", "c.span")
     facts = written(ownership(exploded), "owners")
     n_facts, n_rows = facts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
-    votes = keyed_join(exploded.select("row_key", "hash", "span").distinct(), facts, "hash", "n_rows", int(n_rows), int(n_facts))
-    live = F.col("n_owners") <= live_owners
+    votes = keyed_join(exploded.select("row_key", "hash", "span"), facts, "hash", "n_rows", int(n_rows), int(n_facts))
+    live = (F.col("n_owners") <= live_owners) & (F.col("n_repositories") <= live_repositories)
     per_doc = votes.groupBy("row_key").agg(
         F.collect_list(F.when(live & (F.col("span.kind") == "opaque"), F.col("span"))).alias("s_added"),
         F.sum(live.cast("long")).alias("n_live"),
         F.sum((~live).cast("long")).alias("n_copied"),
     )
-    out = found.select("row", "row_key", "s_assign", "s_access", "s_hex", "s_base").join(per_doc, "row_key", "left")
     empty = F.expr("CAST(array() AS array<struct<start:int,rank:int,kind:string,end:int>>)")
-    return out.select(
-        "row",
-        F.size("s_assign").cast("long").alias("n_assign"),
-        F.size("s_access").cast("long").alias("n_access"),
-        F.size("s_hex").cast("long").alias("n_hex"),
-        F.expr(_drop_values("s_base")).alias("s_base"),
-        F.coalesce("s_added", empty).alias("s_added"),
-        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
-        F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
-    )
+    columns = ["row", "n_assign", "n_access", "n_hex", "s_base", "s_added", "n_live", "n_copied"]
+    rest = found.where("size(s_cands) = 0").withColumns({"s_added": empty, "n_live": F.lit(0).cast("long"), "n_copied": F.lit(0).cast("long")})
+    return some.join(per_doc, "row_key").select(columns).unionByName(rest.select(columns))
 
 
 def secret_report(docs: DataFrame, **how) -> DataFrame:
-    """Per row of docs: doc_id, the counts of base spans by kind, their digest, all spans, and counts of live and copied values."""
+    """Per row of docs: doc_id, the counts of base spans by kind, their digest, all spans, and counts of live and copied values.
+
+    Null or empty text: no spans. Null doc_id or source: kept, as a repository or owner of its own. Repeated rows: each
+    reported. Equal starts: by kind as listed. Empty input: no rows. Other columns do not matter, whatever their names.
+    """
     rows = judged(docs, carry=["doc_id"], **how)
     return rows.select(
         "row.doc_id",
@@ -171,9 +176,9 @@ found AS (
 ), cands AS (
   SELECT rid, doc_id, source, unnest(list_concat(base, opaque)) AS s FROM kept
 ), owners AS (
-  SELECT s.value AS v, count(DISTINCT coalesce('s' || source, 'n')) AS n_owners FROM cands GROUP BY 1
+  SELECT s.value AS v, count(DISTINCT coalesce('s' || source, 'n')) <= {LIVE_OWNERS} AND count(DISTINCT coalesce('d' || doc_id, 'n')) <= {LIVE_REPOSITORIES} AS live FROM cands GROUP BY 1
 ), added AS (
-  SELECT rid, list(s) FILTER (WHERE n_owners <= {LIVE_OWNERS} AND s.kind = 'opaque') AS added, count(*) FILTER (WHERE n_owners <= {LIVE_OWNERS}) AS n_live, count(*) FILTER (WHERE n_owners > {LIVE_OWNERS}) AS n_copied
+  SELECT rid, list(s) FILTER (WHERE live AND s.kind = 'opaque') AS added, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_copied
   FROM cands JOIN owners ON s.value = v GROUP BY rid
 )
 SELECT doc_id, CAST(n_assign AS BIGINT) AS n_assign, CAST(n_access AS BIGINT) AS n_access, CAST(n_hex AS BIGINT) AS n_hex,

@@ -325,6 +325,27 @@ def test_secrets(spark, no_docs):
     assert secrets.secret_report(no_docs).count() == 0
 
 
+def test_ownership_counts_owners_and_repositories(spark):
+    """A value in many repositories of one owner is copied, as one of many owners is; few repositories of one owner are live. Nulls are owners and repositories of their own."""
+    value = lambda k: f"Zm9vYmFyYmF6MTIzNDU2Nzg5MDEyMzQ{k}"
+    rows = [(i, f"key {value('A')} end", "one") for i in range(500)]
+    rows += [(1000 + i, f"é {value('B')}", f"s{i}") for i in range(2)]
+    rows += [(2000 + i, f"{value('C')} {value('D')}", "two") for i in range(3)]
+    rows += [(3000, value("E"), None), (None, value("E"), None), (None, "x " * 100_000 + value("F"), "three"), (None, None, None), (4000, "", None)]
+    rows += [(5000, value("G"), "one")] * 9
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, source string, row string, s_base int").repartition(3)
+    got = defaultdict(set)
+    for r in secrets.secret_report(docs).collect():
+        got[r.doc_id].add((r.spans, r.n_live, r.n_copied))
+    span = f"opaque:0:{len(value('A'))}"
+    assert all(got[i] == {("", 0, 1)} for i in [*range(500), 1000, 1001])
+    assert all({(n, c) for _, n, c in got[2000 + i]} == {(2, 0)} for i in range(3))
+    assert got[3000] == {(span, 1, 0)} and got[4000] == {("", 0, 0)} and got[5000] == {(span, 1, 0)}
+    assert got[None] == {(span, 1, 0), (f"opaque:200000:{200000 + len(value('F'))}", 1, 0), ("", 0, 0)}
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.count() == len(rows) and out.where("text LIKE '%[secret]%'").count() == 3 + 2 + 1 + 9
+
+
 def test_licenses(spark, docs, no_docs):
     texts = [
         None, "", "Released under the MIT License.", "cc by cc by\nnot a mit licensex; the Apache-License", "GNU general\npublic LICENSE", "All rights reserved",
