@@ -346,14 +346,34 @@ def test_ownership_counts_owners_and_repositories(spark):
     assert out.columns == docs.columns and out.count() == len(rows) and out.where("text LIKE '%[secret]%'").count() == 3 + 2 + 1 + 9
 
 
+def brute_labels(text):
+    """Labels and best containment, from every block of every step against every template."""
+    w, found, best = ALNUM.findall(lower(text)), set(), 0.0
+    for label, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            all_ = ALNUM.findall(lower(t))
+            distinct, step = set(all_), max(8, 1 << (len(all_) - 1).bit_length())
+            for at in range(0, max(1, len(w)), step):
+                share = len(distinct & set(w[at : at + 2 * step])) / len(distinct)
+                if share >= (1.0 if len(distinct) < licenses.SHORT else 0.8) - 1e-9:
+                    found.add(label)
+                    best = max(best, share)
+    return found, best
+
+
 def test_licenses(spark, docs, no_docs):
+    mit, bsd = licenses.TEMPLATES["mit"][1], licenses.TEMPLATES["bsd"][0]
+    wrapped = lambda t, n: "\n * ".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
     texts = [
         None, "", "Released under the MIT License.", "cc by cc by\nnot a mit licensex; the Apache-License", "GNU general\npublic LICENSE", "All rights reserved",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that these conditions are met", "Redistribution and use in source forms", "word " * 50_000 + "mit license",
+        wrapped(mit, 9), "x " * 777 + wrapped(bsd, 6) + " y" * 333, "Licensed under the Apache License, Version 2.0.", "Released under the BSD License", "licensed under the GNU General Public License",
+        "all x x x x x x x x x x x x x x x x x x x x rights reserved", "lead in " + wrapped(licenses.TEMPLATES["zlib"][0], 5),
     ]
-    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(2, texts[2], "x")]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(2, texts[2], "x"), (None, texts[2], "x")]
     table = spark.createDataFrame(rows, "doc_id long, text string, padded string")
-    got = {r.doc_id: r for r in licenses.license_report(table).collect()}
+    report = licenses.license_report(table).collect()
+    got = {r.doc_id: r for r in report}
     for i, t in enumerate(texts):
         w = ALNUM.findall(lower(t))
         at = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
@@ -361,11 +381,10 @@ def test_licenses(spark, docs, no_docs):
         assert r.n_words == len(w) and r.n_base == len(at)
         assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
         assert r.base_labels == ",".join(sorted({label for _, label in at}))
-        found = set()
-        for line in lower(t).split("\n"):
-            block = set(ALNUM.findall(line))
-            found |= {label for label, ts in licenses.TEMPLATES.items() for x in ts if len(block & set(licenses.template_words(x))) >= 0.8 * len(licenses.template_words(x)) - 1e-9}
-        assert r.labels == ",".join(sorted(found | {label for _, label in at}))
+        found, best = brute_labels(t)
+        assert r.labels == ",".join(sorted(found | {label for _, label in at})) and abs(r.score - (1.0 if at else best)) < 1e-9
     assert got[6].labels == "bsd" and 0.8 <= got[6].score < 1 and got[7].labels == ""
-    assert licenses.license_report(table).count() == len(rows)
+    assert [got[k].labels for k in (9, 10, 11, 12, 13, 14, 15)] == ["mit", "bsd", "apache", "", "gpl", "", "zlib"] and got[9].score == 1.0
+    assert len(report) == len(rows) and got[None].labels == "mit"
     assert licenses.license_report(docs).count() == docs.count() and licenses.license_report(no_docs).count() == 0
+    assert {r.labels for r in licenses.license_report(table, {}).collect()} == {"", "mit", "apache,cc-by", "gpl", "apache"}
