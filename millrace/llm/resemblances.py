@@ -1,57 +1,59 @@
-"""Near-duplicates by resemblance: MinHash bands find candidates, whole sets of five-word shingles decide.
-
-A document's set is hashed to a class of equal sets, so copies are compared once. Classes that share a band are
-candidates: first each is compared with one member of its band, which joins most families at a cost in proportion to
-their size, and at last all pairs of a band that are still in different components are compared. Pairs that sizes or odd
-sketches (bitmaps that bound the sets' difference from below) rule out are dropped; the others are links only where the
-Jaccard similarity of the whole sets reaches the threshold, so none that is found is wrong; a pair at 0.8 shares no
-band with a chance of 1 in 38,000.
+"""Near-duplicates at a similarity of 0.8: wide SimHash fingerprints compared in tiles, whole sets of five-word shingles decide.
+
+A fingerprint of 64 bits within 4 is too narrow for this similarity, at which a bit differs with a chance of 0.15. So a
+document's set of five-word shingles gets four such fingerprints, compared like the single one: in tiles of documents of
+similar size, every pair of tiles whose sizes allow the similarity in full, by exclusive-or and bit counts, first over one fingerprint
+within NARROW and then over all four within WIDE. A pair that differs in so many bits is at 0.8 or more with a
+chance below one in 5,000 (one in 150 for sets of four or five shingles). Odd sketches (bitmaps that bound the sets' difference from below) rule more pairs out;
+the others are links only where the Jaccard similarity of the whole sets reaches the threshold, so none that is found is wrong.
+
+Equal sets are compared once. Of the others each document is first compared in full with the nearest fingerprint only, which joins most
+families at a cost in proportion to their size; at last all near pairs that are still in different components are.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, written
+from .common import BROADCAST_ROWS, keyed_join, written
 from .components import components
+from .simhash import BLOCK, bit_majorities, tile_pairs, tile_size
 from .sketches import sketch_chunk
 from .tokens import Hasher, chunks, mixed
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 4
-#: Rounds of stars, at most.
+#: Fingerprints of 64 bits a document, and the most bits in which the first, and all, of two near ones differ.
+PRINTS, NARROW, WIDE = 4, 20, 64
+#: Rounds of nearest pairs, at most.
 TURNS = 8
-#: Members of a band compared with as many others at a time, and comparisons in a buffer.
-TILE, BLOCK = 2048, 1 << 16
 #: Bits of an odd sketch.
 ODD = 1024
-_RNG = np.random.default_rng(20)
-_FACTORS = _RNG.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RNG.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
+#: Classes of set sizes differ by this factor.
+SIZE_STEP = 1.02
 _SECOND = np.uint64(0x9E3779B97F4A7C15)
+_SALTS = mixed(np.arange(1, PRINTS + 1, dtype=np.uint64))
 
 
-def marks(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sizes, hashes, second hashes, band keys, BANDS to a row) of sets of shingle hashes; an empty set's are zero."""
+def set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, hashes, second hashes, fingerprints, PRINTS to a row) of sets of shingle hashes; an empty set's are zero."""
     sizes = np.array([len(s) for s in sets], np.int64)
     some = np.flatnonzero(sizes)
     one, two = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-    bands = np.zeros((len(sets), BANDS), np.uint64)
+    prints = np.zeros((len(sets), PRINTS), np.uint64)
     if len(some):
         grams = np.concatenate([sets[i] for i in some])
-        begins = np.cumsum(sizes[some]) - sizes[some]
-        one[some] = np.add.reduceat(mixed(grams), begins)
-        two[some] = np.add.reduceat(mixed(grams ^ _SECOND), begins)
-        for b in range(BANDS):
-            key = np.full(len(some), b + 1, np.uint64)
-            for k in range(b * ROWS, (b + 1) * ROWS):
-                key = mixed(key * _SECOND + np.minimum.reduceat(grams * _FACTORS[k] + _SHIFTS[k], begins))
-            bands[some, b] = key
-    return sizes, one, two, bands
+        per = np.concatenate(([0], np.cumsum(sizes[some])))
+        one[some] = np.add.reduceat(mixed(grams), per[:-1])
+        two[some] = np.add.reduceat(mixed(grams ^ _SECOND), per[:-1])
+        for k in range(PRINTS):
+            prints[some, k] = bit_majorities(mixed(grams ^ _SALTS[k]), per)
+    return sizes, one, two, prints
 
 
 def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -62,27 +64,30 @@ def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<i8").reshape(len(sets), ODD // 64)
 
 
+def _rows_of(values: np.ndarray) -> pa.ListArray:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(np.arange(0, (n + 1) * width, width, dtype=np.int32), pa.array(values.reshape(-1).view(np.int64)))
+
+
 def marked(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, th, text) to doc_id, th, h1, h2, n, odd, bands: the set's hashes, size, odd sketch and band keys."""
+    """docs(doc_id, th, text) to doc_id, th, h1, h2, n, odd, prints: the set's hashes, size, odd sketch and fingerprints."""
 
     def run(batches):
         hasher = Hasher(lower=True)
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(2)):
                 sets = sketch_chunk(data, offsets, hasher, None, SHINGLE)
-                n, one, two, bands = marks(sets)
-                odd = pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * (ODD // 64), ODD // 64, dtype=np.int32), pa.array(odd_sketches(sets).reshape(-1)))
-                cut = np.arange(0, (hi - lo + 1) * BANDS, BANDS, dtype=np.int32)
+                n, one, two, prints = set_hashes(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n), odd, pa.ListArray.from_arrays(cut, pa.array(bands.reshape(-1).view(np.int64)))],
-                    ["doc_id", "th", "h1", "h2", "n", "odd", "bands"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n), _rows_of(odd_sketches(sets)), _rows_of(prints)],
+                    ["doc_id", "th", "h1", "h2", "n", "odd", "prints"],
                 )
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, h1 long, h2 long, n long, odd array<long>, bands array<long>")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, h1 long, h2 long, n long, odd array<long>, prints array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) to node, grams, the hashes of its distinct shingles."""
+    """docs(node, text) to node, grams, the hashes of its distinct shingles."""
 
     def run(batches):
         hasher = Hasher(lower=True)
@@ -92,137 +97,173 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 cut = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(sets).view(np.int64)))], ["node", "grams"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, grams array<long>")
+    return docs.select("node", "text").mapInArrow(run, "node long, grams array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose shingle sets, of docs(doc_id, text), have this Jaccard similarity or more."""
-    needed = pairs.select(F.col("a").alias("needed")).unionAll(pairs.select("b")).distinct()
-    sets = written(shingle_sets(docs.join(needed, docs.doc_id == needed.needed, "left_semi")).dropDuplicates(["node"]), "shingles")
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose shingle sets, of texts(node, text), have this Jaccard similarity or more."""
+    needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    sets = written(shingle_sets(texts.join(needed, "node", "left_semi")).dropDuplicates(["node"]), "shingles")
     both = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     return both.withColumn("common", common).where(F.col("common") >= similarity * (F.size("ga") + F.size("gb") - F.col("common")) - 1e-9).select("a", "b")
 
 
-def possible(pairs: DataFrame, facts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The distinct pairs (a, b), a < b, that sizes and odd sketches of facts(id, n, odd) do not rule out.
+def near(a: dict[str, np.ndarray], b: dict[str, np.ndarray], same: bool, similarity: float = SIMILARITY):
+    """(places in a, places in b, bits that differ) of near pairs of different components, some at a time.
 
-    A bit is set where an odd number of a set's hashes fall, so sketches differ in no more bits than sets in hashes,
-    of which sets at the similarity differ in at most (1 - s) / (1 + s) of both sizes together.
+    a and b hold, of two tiles, node, c (component), n (size), prints and, in rounds that have them, odd.
     """
-    x, y = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
-    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(x, "a").join(y, "b")
-    differ = F.aggregate(F.zip_with("oa", "ob", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
-    sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
-    return both.where(sizes).where(differ <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b")
-
-
-def _close(ids: np.ndarray, c: np.ndarray, t: np.ndarray, n: np.ndarray, odd: np.ndarray, p: int, q: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of ids, one of tile p and one of q, of different components that sizes and odd sketches do not rule out."""
-    x, y = np.flatnonzero(t == p), np.flatnonzero(t == q)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    step = max(1, BLOCK // max(1, len(y)))
-    for lo in range(0, len(x), step):
-        i = x[lo : lo + step]
-        near = c[i][:, None] != c[y]
-        near &= np.minimum(n[i][:, None], n[y]) >= similarity * np.maximum(n[i][:, None], n[y]) - 1e-9
-        if p == q:
-            near &= ids[i][:, None] < ids[y]
-        differ = np.zeros(near.shape, np.int64)
-        for k in range(odd.shape[1]):
-            differ += np.bitwise_count(odd[i, k][:, None] ^ odd[y, k])
-        near &= differ <= (1 - similarity) / (1 + similarity) * (n[i][:, None] + n[y]) + 1e-9
-        u, v = np.nonzero(near)
-        a.append(ids[i[u]])
-        b.append(ids[y[v]])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def across_components(split: DataFrame, bands: DataFrame, facts: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """(a, b) of split(band, id, c) that share a band of bands(band, m) but no component and that their facts do not rule out.
-
-    A band of m members is dealt into tiles of about `tile`, and a task compares two of them by numpy.
+    first = [np.ascontiguousarray(x["prints"][:, 0]) for x in (a, b)]
+    step = max(1, BLOCK // max(1, len(first[1])))
+    for lo in range(0, len(first[0]), step):
+        differ = np.bitwise_count(first[0][lo : lo + step, None] ^ first[1])
+        i, j = np.nonzero(differ <= NARROW)
+        i = i + lo
+        keep = a["c"][i] != b["c"][j]
+        if same:
+            keep &= i < j
+        i, j = i[keep], j[keep]
+        keep = np.minimum(a["n"][i], b["n"][j]) >= similarity * np.maximum(a["n"][i], b["n"][j]) - 1e-9
+        i, j = i[keep], j[keep]
+        bits = np.bitwise_count(a["prints"][i] ^ b["prints"][j]).sum(1, dtype=np.int64)
+        keep = bits <= WIDE
+        if "odd" in a:
+            # sketches differ in no more bits than sets in hashes, of which sets at the similarity differ in at most (1 - s) / (1 + s) of both sizes together
+            odd = np.bitwise_count(a["odd"][i[keep]] ^ b["odd"][j[keep]]).sum(1, dtype=np.int64)
+            keep[keep] = odd <= (1 - similarity) / (1 + similarity) * (a["n"][i[keep]] + b["n"][j[keep]]) + 1e-9
+        if keep.any():
+            yield i[keep], j[keep], bits[keep]
+
+
+def compared(live: DataFrame, every: bool, with_odd: bool, similarity: float = SIMILARITY, tile: int | None = None) -> DataFrame:
+    """Near pairs of live(node, c, n, odd, prints) that are in different components c.
+
+    every: (a, b), all of them. Else (x, near, bits, others) per pair of tiles and node x that has any: the nearest (of equally
+    near ones the smallest node) and their number. Tiles hold nodes of similar size; sizes alone bound what a pair of tiles can hold.
     """
-    tiles = F.ceil(F.col("m") / tile).cast("int")
-    rows = split.join(bands.select("band", "m"), "band").withColumn("t", F.pmod(F.xxhash64("id", F.lit(1)), tiles).cast("int"))
-    rows = rows.join(facts, "id").select("band", "t", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("u"), "id", "c", "n", "odd")
-    groups = rows.groupBy("band", F.least("t", "u").alias("p"), F.greatest("t", "u").alias("q")).agg(F.collect_list(F.struct("id", "c", "t", "n", "odd")).alias("m"))
-    groups = groups.selectExpr("p", "q", *[f"transform(m, x -> x.{k}) AS {k}" for k in ("id", "c", "t", "n")], "flatten(transform(m, x -> x.odd)) AS odd")
+    step = math.log(SIZE_STEP)
+    placed = live.withColumn("size", F.floor(F.log("n") / step).cast("int"))
+    counts = sorted((r["size"], r["count"]) for r in placed.groupBy("size").count().collect())  # a row per factor of SIZE_STEP in length
+    tile = tile or tile_size(sum(n for _, n in counts))
+    of, firsts, subs, low, high, held = {}, [], [], [], [], 0
+    for size, n in counts:
+        if not low or held + n > tile:
+            firsts.append(sum(subs))
+            subs.append(0)
+            low.append(size)
+            high.append(size)
+            held = 0
+        held += n
+        high[-1], of[size] = size, len(subs) - 1
+        subs[-1] = -(-held // tile)
+    rows = [(size, firsts[t], subs[t]) for size, t in of.items()]
+    placed = placed.join(F.broadcast(live.sparkSession.createDataFrame(rows, "size int, first int, subs int")), "size")
+    placed = placed.withColumn("tile", F.col("first") + F.pmod(F.xxhash64("node", F.lit(3)), F.col("subs")))
+    columns = ["node", "c", "n", "prints"] + (["odd"] if with_odd else [])
+    members = placed.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("m"))
+    wide = {"prints", "odd"}
+    members = written(members.selectExpr("tile", *[f"flatten(transform(m, x -> x.{c})) AS {c}" if c in wide else f"transform(m, x -> x.{c}) AS {c}" for c in columns]), "tiles")
+    bounds = (np.repeat(np.array(x, np.float32), subs)[:, None] for x in (low, high))
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                value = [np.asarray(batch.column(j)[k].values) for j in range(2, 7)]
-                a, b = _close(*value[:4], value[4].view(np.uint64).reshape(len(value[0]), -1), batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), similarity)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return groups.mapInArrow(run, "a long, b long").distinct()
-
-
-def linked(classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component) of the ids of classes(id, n, odd, bands) that a link of the similarity or more joins to others.
-
-    Rounds of stars come first: in each band that holds several components one member is compared with those outside
-    its own. Once a round has joined few, or pairs of a band's different components are few, all of these are compared.
+                sides = []
+                for side in "ab":
+                    value = {c: np.asarray(batch.column(f"{side}_{c}")[k].values) for c in columns}
+                    sides.append({c: v.view(np.uint64).reshape(len(value["node"]), -1) if c in wide else v for c, v in value.items()})
+                a, b = sides
+                same = batch.column("ta")[k].as_py() == batch.column("tb")[k].as_py()
+                if every:
+                    for i, j, _ in near(a, b, same, similarity):
+                        yield pa.RecordBatch.from_arrays([pa.array(a["node"][i]), pa.array(b["node"][j])], ["a", "b"])
+                    continue
+                best: dict[int, list[int]] = {}
+                for i, j, bits in near(a, b, same, similarity):
+                    for x, y in ((a["node"][i], b["node"][j]), (b["node"][j], a["node"][i])):
+                        order = np.lexsort((y, bits, x))
+                        x, y, d = x[order], y[order], bits[order]
+                        cut = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+                        for node, other, dist, n in zip(x[cut].tolist(), y[cut].tolist(), d[cut].tolist(), np.diff(np.append(cut, len(x))).tolist()):
+                            was = best.setdefault(node, [dist, other, 0])
+                            was[2] += n
+                            if (dist, other) < (was[0], was[1]):
+                                was[0], was[1] = dist, other
+                if best:
+                    nodes = list(best)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes), *[pa.array([best[x][c] for x in nodes]) for c in (1, 0, 2)]], ["x", "near", "bits", "others"])
+
+    pairs = tile_pairs(members, *bounds, -math.log(similarity) / step + 1, columns)
+    return pairs.mapInArrow(run, "a long, b long" if every else "x long, near long, bits long, others long")
+
+
+def linked(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, tile: int | None = None) -> DataFrame | None:
+    """(node, component) of the nodes of classes(node, n, odd, prints) that a link of the similarity or more joins to others; None if there is none.
+
+    A set of n < s / (1 - s) shingles is as similar to no other, so it is left out. A round of nearest pairs comes first and shows which
+    nodes have near ones at all; only these go on. Once a round has joined few, or near pairs are few, all of these are compared.
     """
-    facts = classes.select("id", "n", "odd")
-    keys = classes.where("n > 0").select("id", F.explode("bands").alias("band"))
-    shared = keys.groupBy("band").count().where("count > 1").select("band")
-    held = written(keys.join(shared, "band").withColumn("c", F.col("id")), "bands")
-    rows = held.count()
-    links, reached, turn, few = None, None, 0, False
+    live = classes.where(F.col("n") >= similarity / (1 - similarity) - 1e-9).withColumn("c", F.col("node"))
+    if not live.limit(1).count():
+        return None
+    links, reached, turn, few, across = None, None, 0, False, None
     while True:
-        sizes = held.groupBy("band", "c").agg(F.count(F.lit(1)).cast("double").alias("m"))
-        bands = sizes.groupBy("band").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count(F.lit(1)).alias("cs")).where("cs > 1")
-        bands = written(bands.select("band", "m", ((F.col("m") * F.col("m") - F.col("own")) / 2).alias("across")), "split")
-        across = bands.agg(F.coalesce(F.sum("across"), F.lit(0.0))).first()[0]
-        if not across:
-            break
-        split = held.join(bands.select("band"), "band")
-        full = turn > 0 and (few or across <= rows or turn == TURNS)
+        full = turn > 0 and (few or turn == TURNS or across <= 4 * rows)
         if full:
-            pairs = across_components(split, bands, facts, similarity)
+            pairs = written(compared(live, True, True, similarity, tile), "pairs")
         else:
-            order = F.col("id") if not turn else F.xxhash64("id", F.lit(turn))
-            centre = split.groupBy("band").agg(F.min(F.struct(order.alias("by"), "id", "c")).alias("s")).select("band", F.col("s.id").alias("a"), F.col("s.c").alias("ca"))
-            pairs = split.join(centre, "band").where("c <> ca").select("a", F.col("id").alias("b"))
-        pairs = written(possible(pairs.select("a", "b"), facts, similarity), "pairs")
-        if not full:  # one link is enough to join a document
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        found = written(verified(pairs, docs, similarity), "links")
+            stars = compared(live, False, turn > 0, similarity, tile).groupBy("x").agg(F.min(F.struct("bits", "near")).alias("m"), F.sum("others").alias("others"))
+            stars = written(stars.select("x", "m.near", "others"), "nearest")
+            rows, across = stars.agg(F.count(F.lit(1)), F.coalesce(F.sum("others") / 2, F.lit(0.0))).first()
+            if not rows:
+                break
+            pairs = written(stars.select(F.least("x", "near").alias("a"), F.greatest("x", "near").alias("b")).distinct(), "pairs")
+        found = written(verified(pairs, texts, similarity), "links")
         joined = found.count()
-        few = 100 * joined <= rows
         links = found if links is None else links.unionAll(found)
         if joined:
             reached = components(links)
         if full:
             break
-        if joined:
-            held = written(split.select("band", "id").join(reached, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("c")), "bands")
+        few = 100 * joined <= rows
+        live = live.drop("c").join(stars.select(F.col("x").alias("node")), "node", "left_semi")
+        if reached is not None:
+            live = live.join(reached, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        else:
+            live = live.withColumn("c", F.col("node"))
+        live = written(live, "live")
         turn += 1
-    return reached if reached is not None else facts.sparkSession.createDataFrame([], "node long, component long")
+    return reached
 
 
-def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each component kept, that of its smallest doc_id; of several rows with that id, one.
+def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, tile: int | None = None) -> DataFrame:
+    """docs with one document of each component kept, that of its smallest doc_id (of several texts with that id, of the smallest hash).
 
     Words are split at white space, A-Z lower-cased; a text of fewer than five words is one shingle; null, empty and
-    wordless texts are equal. Of rows with one doc_id only the kept one is compared. Rows without a doc_id are kept and
-    compared with none. All columns are kept, whatever their names.
+    wordless texts are equal. A row is known by doc_id and text: rows that share a doc_id but whose texts belong to different components
+    are all kept, and rows equal in both are one document, of which one stays. Rows without a doc_id are kept and
+    compared with none. Very long texts cost in proportion to their length. Empty input: no rows. All columns are kept, whatever their names.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("doc_id IS NOT NULL")
-    marks_ = marked(ids).groupBy("doc_id").agg(F.min(F.struct("th", "h1", "h2", "n", "odd", "bands")).alias("m"))
-    marks_ = written(marks_.select("doc_id", "m.*").withColumn("key", F.concat_ws(",", "h1", "h2", "n")).drop("h1", "h2"), "marks")
-    classes = written(marks_.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("bands").alias("bands")), "classes")
-    firsts = marks_.join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "th")
-    texts = ids.join(firsts, ["doc_id", "th"], "left_semi").select("doc_id", "text")
-    reached = linked(classes.select("id", "n", "odd", "bands"), texts, similarity)
-    named = classes.join(reached, classes.id == reached.node, "left").select("key", "rows", F.coalesce("component", "id").alias("stays"))
-    found = keyed_join(marks_.select("doc_id", "key"), named, "key", "rows", marks_.count())
-    dropped = found.where("doc_id <> stays").select(F.col("doc_id").alias("dropped_id"))
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"))
-    named = packed.where("row_id IS NOT NULL").join(dropped, F.col("row_id") == F.col("dropped_id"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("row_id").orderBy(F.xxhash64("row.text"), F.col("row.text")))
-    named = named.withColumn("nth", nth).where("nth = 1").select("row")
-    return named.unionByName(packed.where("row_id IS NULL").select("row")).select("row.*")
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.xxhash64(F.col("text").cast("string")).alias("row_th"))
+    ids = packed.where("row_id IS NOT NULL").select(F.col("row_id").alias("doc_id"), F.col("row_th").alias("th"), F.col("row.text").alias("text"))
+    units = marked(ids).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in ("h1", "h2", "n", "odd", "prints")])
+    units = written(units.withColumn("key", F.concat_ws(",", "h1", "h2", "n")).drop("h1", "h2"), "units")
+    classes = units.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count(F.lit(1)).alias("units"), *[F.first(c).alias(c) for c in ("n", "odd", "prints")])
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    texts = ids.join(classes.select("node", "rep.doc_id", "rep.th"), ["doc_id", "th"]).select("node", "text")
+    reached = linked(classes.select("node", "n", "odd", "prints"), texts, similarity, tile)
+    named = classes.select("node", "key", "units", "rep")
+    if reached is not None:
+        stays = written(named.join(reached, "node").groupBy("component").agg(F.min("rep").alias("stays")).join(reached, "component").select("node", "stays"), "stays")
+        named = named.join(stays, "node", "left").withColumn("rep", F.coalesce("stays", "rep"))
+    found = keyed_join(units.select("doc_id", "th", "rows", "key"), named.select("key", "units", "rep"), "key", "units", units.count())
+    same = (F.col("doc_id") == F.col("rep.doc_id")) & (F.col("th") == F.col("rep.th"))
+    flags = found.where(~same | (F.col("rows") > 1)).select(F.concat_ws(",", "doc_id", "th").alias("unit"), "rows", same.alias("stays"))
+    flags = written(flags, "flags")
+    n_flags, n_rows = flags.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    packed = packed.withColumn("unit", F.when(F.col("row_id").isNotNull(), F.concat_ws(",", "row_id", "row_th")))
+    flagged = keyed_join(packed.select("row", "unit"), flags, "unit", "rows", int(n_rows), int(n_flags))
+    plain = [F.col(f"row.{c}") for c, kind in docs.dtypes if not kind.startswith(("struct", "map", "array", "variant"))]
+    one = flagged.where("stays").groupBy("unit").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return flagged.where("stays IS NULL").select("row.*").unionByName(one.select("row.*"))

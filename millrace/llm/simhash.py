@@ -8,26 +8,24 @@ A task returns a spanning forest of the links it found, which has no more edges
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed_join, written
 from .components import components
-from .tokens import LOWER_BYTES, SPACE, chunks, normalised, words
+from .tokens import LOWER_BYTES, SPACE, chunks, normalised, words, xxh64
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Fingerprints compared with as many others at a time.
-TILE = 16384
+#: Fingerprints in a tile: about a TILES-th of all, within these bounds.
+TILE_LEAST, TILE_MOST, TILES = 4096, 65536, 24
 #: Comparisons made at a time, in buffers that stay in a core's cache.
 BLOCK = 1 << 17
-#: Pairs of tiles up to which their table (16 bytes a pair) is broadcast.
-BROADCAST_PAIRS = 1_000_000
 PARTS = 4
 
 
@@ -57,7 +55,7 @@ def bit_majorities(hashes: np.ndarray, per: np.ndarray) -> np.ndarray:
 
 def fingerprint_batch(column: pa.Array) -> np.ndarray:
     """The fingerprint of each text: bits set in over half of the hashes of its 4-word shingles, repeats included."""
-    out, digest = [np.zeros(0, np.uint64)], xxhash.xxh64_intdigest
+    out = [np.zeros(0, np.uint64)]
     for _, _, data, offsets in chunks(column):
         data = LOWER_BYTES[data]
         starts, ends, per = words(data, offsets, SPACE)
@@ -67,9 +65,7 @@ def fingerprint_batch(column: pa.Array) -> np.ndarray:
         base = np.concatenate(([0], np.cumsum(shingles)))
         first = np.repeat(per[:-1] - base[:-1], shingles) + np.arange(int(base[-1]))
         last = first + np.repeat(np.minimum(n, SHINGLE), shingles)
-        begin, end = at[first].tolist(), (at[last] - 1).tolist()
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end)], np.uint64)
-        out.append(bit_majorities(hashes, base))
+        out.append(bit_majorities(xxh64(joined, at[first], at[last] - 1, SEED), base))
     return np.concatenate(out)
 
 
@@ -114,17 +110,30 @@ def _tiles(cells: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return tile, np.array(subs), np.array(low), np.array(high)
 
 
-def tile_pairs(subs: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> np.ndarray:
-    """Pairs (tile number, tile number) of sub-tiles, each with itself too, whose bit counts can lie within the radius."""
-    base = np.concatenate(([0], np.cumsum(subs)))
-    pairs = []
-    for i in range(len(subs)):
-        gap = np.maximum(np.maximum(low[i:] - high[i], low[i] - high[i:]), 0).sum(1)
-        for j in i + np.flatnonzero(gap <= radius):
-            a, b = np.meshgrid(np.arange(base[i], base[i + 1]), np.arange(base[j], base[j + 1]), indexing="ij")
-            keep = (a <= b).ravel()
-            pairs.append(np.column_stack((a.ravel()[keep], b.ravel()[keep])))
-    return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+def tile_size(n: int) -> int:
+    return max(TILE_LEAST, min(TILE_MOST, -(-n // TILES)))
+
+
+def tile_pairs(members: DataFrame, low: np.ndarray, high: np.ndarray, reach: float, columns: Sequence[str]) -> DataFrame:
+    """Pairs of tiles of members(tile, *columns), each with itself too, whose bounds low and high (a row per tile) can lie within reach.
+
+    Columns: ta, tb and every one of `columns` as a_ and b_. A task finds the partners of its tiles from the bounds, which are all
+    that is broadcast; 16 bytes a tile of a corpus of 10 billion fingerprints are 3 MB.
+    """
+    spark = members.sparkSession
+    bounds = spark.sparkContext.broadcast((low, high))
+
+    def partners(batches):
+        low, high = bounds.value
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                gap = np.maximum(np.maximum(low[i:] - high[i], low[i] - high[i:]), 0).sum(1)
+                j = i + np.flatnonzero(gap <= reach)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i)), pa.array(j)], ["ta", "tb"])
+
+    pairs = written(spark.range(len(low)).mapInArrow(partners, "ta long, tb long"), "tile-pairs")
+    sides = [members.select(F.col("tile").alias(f"t{k}"), *[F.col(c).alias(f"{k}_{c}") for c in columns]) for k in "ab"]
+    return sides[0].join(pairs, "ta").join(sides[1], "tb")
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> np.ndarray:
@@ -159,45 +168,41 @@ def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> np.ndarray:
     return parent
 
 
-def links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(classes: DataFrame, radius: int = RADIUS, tile: int | None = None) -> DataFrame:
     """(a, b) edges between ids of classes(fp, id): a spanning forest, per pair of tiles, of all pairs of fingerprints within the radius.
 
     The driver sees the number of fingerprints per vector of part counts, of which there are at most 17**4, and the
-    tiles' bounds; the fingerprints themselves stay on the executors, a tile of about `tile` of them in a row.
+    tiles' bounds; the fingerprints themselves stay on the executors, a tile of about `tile` of them in a row. No classes: no links.
     """
     spark = classes.sparkSession
     counted = classes.select("fp", "id", *_part_counts("fp"))
     cells = counted.groupBy("c0", "c1", "c2", "c3").count().toPandas()
     if not len(cells):
         return spark.createDataFrame([], "a long, b long")
-    of_cell, subs, low, high = _tiles(cells[["c0", "c1", "c2", "c3"]].to_numpy(np.int64), cells["count"].to_numpy(np.int64), tile)
+    n = cells["count"].to_numpy(np.int64)
+    of_cell, subs, low, high = _tiles(cells[["c0", "c1", "c2", "c3"]].to_numpy(np.int64), n, tile or tile_size(int(n.sum())))
     base = np.concatenate(([0], np.cumsum(subs)))[:-1]
     cells["first"], cells["subs"] = base[of_cell], subs[of_cell]
     placed = counted.join(F.broadcast(spark.createDataFrame(cells[["c0", "c1", "c2", "c3", "first", "subs"]])), ["c0", "c1", "c2", "c3"])
     placed = placed.select("fp", "id", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("subs"))).alias("tile"))
     members = placed.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("id", "fp"))).alias("m"))
     members = written(members.selectExpr("tile", "transform(m, x -> x.id) AS ids", "transform(m, x -> x.fp) AS fps"), "tiles")
-    pairs = tile_pairs(subs, low, high, radius)
-    table = spark.createDataFrame(pd.DataFrame(pairs, columns=["ta", "tb"]))
-    table = F.broadcast(table) if len(pairs) <= BROADCAST_PAIRS else table
-    left = members.selectExpr("tile AS ta", "ids AS ia", "fps AS fa").join(table, "ta")
-    right = members.selectExpr("tile AS tb", "ids AS ib", "fps AS fb").join(table, "tb")
 
     def run(batches):
         for batch in batches:
-            column = {name: batch.column(k) for k, name in enumerate(("ta", "tb", "ia", "fa", "ib", "fb"))}
             for k in range(batch.num_rows):
-                value = {name: np.asarray(column[name][k].values) for name in ("ia", "fa", "ib", "fb")}
-                same = column["ta"][k].as_py() == column["tb"][k].as_py()
-                ids = value["ia"] if same else np.concatenate((value["ia"], value["ib"]))
-                root = forest(value["fa"].view(np.uint64), value["fb"].view(np.uint64), radius, same)
+                ia, fa, ib, fb = (np.asarray(batch.column(name)[k].values) for name in ("a_ids", "a_fps", "b_ids", "b_fps"))
+                same = batch.column("ta")[k].as_py() == batch.column("tb")[k].as_py()
+                ids = ia if same else np.concatenate((ia, ib))
+                root = forest(fa.view(np.uint64), fb.view(np.uint64), radius, same)
                 child = np.flatnonzero(root != np.arange(len(root)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[child]), pa.array(ids[root[child]])], ["a", "b"])
 
-    return left.join(right, ["ta", "tb"]).select("ta", "tb", "ia", "fa", "ib", "fb").mapInArrow(run, "a long, b long")
+    pairs = tile_pairs(members, np.repeat(low, subs, 0).astype(np.int8), np.repeat(high, subs, 0).astype(np.int8), radius, ("ids", "fps"))
+    return pairs.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id, the smallest doc_id reachable over links.
 
     Words are split at white space, A-Z lower-cased; a text of fewer than four words is one shingle; null, empty and
@@ -212,16 +217,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     named = classes.join(reached, classes.id == reached.node, "left").select(F.col("fp").cast("string").alias("fp_key"), "n", F.coalesce("component", "id").alias("component_id"))
     out = keyed_join(marked.withColumn("fp_key", F.col("fp").cast("string")), named, "fp_key", "n", marked.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def distinct_documents(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """docs with one document of each component kept, that of its smallest doc_id; of several rows with that id, one.
-
-    Rows without a doc_id that share no fingerprint with a named one are kept. All columns are kept, whatever their names.
-    """
-    dropped = near_duplicates(docs, radius, tile).where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"))
-    named = packed.where("row_id IS NOT NULL").join(dropped, F.col("row_id") == F.col("dropped_id"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("row_id").orderBy(F.xxhash64("row.text"), F.col("row.text")))
-    named = named.withColumn("nth", nth).where("nth = 1").select("row")
-    return named.unionByName(packed.where("row_id IS NULL").select("row")).select("row.*")
