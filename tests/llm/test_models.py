@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 
-from millrace.llm import toxicity, urls, warc
+from millrace.llm import resemblances, toxicity, urls, warc
 
 URLS = [
     None, "", "no scheme", "http://NET/x", "https://a.Example.NET/en/1?q=2#f", "https://example.net", "https://example.net?x=/en/", "ftp://example.com/de/", "https://www.example.com/den", "https://x.org/fr/9", "https://x.org/FR/9",
@@ -296,10 +296,6 @@ def test_pipeline(spark, tmp_path):
 
 def test_near_copies_at_the_similarity_go(spark):
     """Families of copies with words changed here and there, against all pairs of five-word shingle sets."""
-    import numpy as np
-
-    from millrace.llm import resemblances
-
     rng = random.Random(12)
     texts = []
     for _ in range(40):
@@ -327,15 +323,42 @@ def test_near_copies_at_the_similarity_go(spark):
                 between += shared < 0.95
     assert between > 10
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "x"), (None, texts[0], "x")], "doc_id long, text string, n string").repartition(3)
-    got = [r.doc_id for r in resemblances.distinct_documents(docs).collect()]
-    assert sorted(got, key=repr) == sorted([*set(root), None], key=repr)
+    for tile in (None, 16):
+        got = [r.doc_id for r in resemblances.distinct_documents(docs, tile=tile).collect()]
+        assert sorted(got, key=repr) == sorted([*set(root), None], key=repr)
     assert resemblances.distinct_documents(docs.limit(0)).count() == 0
-    plain = [(k, set(rng.sample(range(1 << 20), 60))) for k in range(30)] + [(30 + k, set(range(k, k + 90))) for k in range(30)]
-    some = [np.sort(np.array(sorted(g), np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _, g in plain]
-    n, odd = np.array([len(g) for g in some]), resemblances.odd_sketches(some).view(np.uint64)
-    ids = np.arange(60)
-    for p, q in ((0, 0), (1, 1), (0, 1)):
-        a, b = resemblances._close(ids, ids, ids % 2, n, odd, p, q, 0.8)
-        got = {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist())}
-        want = {(i, j) for j in range(60) for i in range(j) if {i % 2, j % 2} == {p, q} and 1.8 * len(plain[i][1] & plain[j][1]) >= 0.8 * (len(plain[i][1]) + len(plain[j][1]))}
-        assert want and want <= got and all(j >= 30 for _, j in got)
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """Texts of one doc_id that are unlike stay, all of them; equal rows are one; a near copy goes though its doc_id has another text."""
+    word = random.Random(3)
+    text = lambda: " ".join(f"w{word.randrange(10_000)}" for _ in range(60))
+    one, two, three = text(), text(), text()
+    near = one.rsplit(" ", 2)[0] + " a b"
+    rows = [(1, one, {"k": 1}), (2, two, None), (2, three, None), (2, near, None), (3, three, None), (3, text(), None), (2, two, None), (4, None, None), (5, "", None), (None, one, None), (None, one, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row map<string,int>").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in resemblances.distinct_documents(docs).collect()), key=repr)
+    assert got == sorted([(1, one), (2, two), (2, three), (3, rows[5][1]), (4, None), (None, one), (None, one)], key=repr)
+
+
+def test_families_join_in_turns(spark):
+    """A chain of texts, each near the next alone, and a family of many copies changed at different words, are a component each; texts alike below the similarity stay."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(150)]
+    chain = [base[k : k + 100] for k in range(0, 50, 5)]
+    family = []
+    for _ in range(120):
+        copy = [f"f{k}" for k in range(200)]
+        copy[rng.randrange(200)] = word()
+        family.append(copy)
+    alike = []
+    for _ in range(40):
+        copy = [f"a{k}" for k in range(120)]
+        for at in range(0, 120, 12):
+            copy[at] = word()
+        alike.append(copy)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(chain + family + alike)], "doc_id long, text string").repartition(4)
+    for tile in (None, 32):
+        got = sorted(r.doc_id for r in resemblances.distinct_documents(docs, tile=tile).collect())
+        assert got == [0, len(chain), *range(len(chain) + len(family), len(chain) + len(family) + len(alike))]
