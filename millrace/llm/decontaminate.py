@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import written
 from .tokens import ALNUM, Hasher, chunks, words
 
 WINDOW = 10
@@ -208,23 +209,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     of an item, or the whole of a shorter one; a word inside any occurrence of a window is hit. Null or empty text:
     no words. Items without words never occur. Repeated rows: each reported; repeated items count by item_id. Empty
     docs: no rows; empty benchmark: no hits. Other columns of docs are ignored. A benchmark of several blocks takes
-    one pass each, which carries the hit words and items on beside the text.
+    one pass each, which leaves the hit words and items beside the text in a table, so the driver holds no more than two blocks.
     """
-    kind, blocks = dict(docs.dtypes)["doc_id"], list(_blocks(benchmark, window))
-    rows = docs.select("doc_id", "text")
-    for n, items in enumerate(blocks):
-        final = n == len(blocks) - 1
+    kind, blocks = dict(docs.dtypes)["doc_id"], _blocks(benchmark, window)
+    rows, n, after = docs.select("doc_id", "text"), 0, next(blocks)
+    while after is not None:
+        items, after = after, next(blocks, None)
+        final = after is None
 
         def search(batches, items=items, first=n == 0, final=final):
             for batch in batches:
                 text = batch.column(1)
                 for lo, hi, per, suffix, place in shards(text, items):
+                    item, _, start, size = longest(suffix, place, items)
                     steps = np.zeros(int(per[-1]) + 1, np.int64)
-                    np.add.at(steps, place, 1)
-                    np.add.at(steps, place + items.size[suffix], -1)
+                    np.add.at(steps, start, 1)
+                    np.add.at(steps, start + size, -1)
                     hit = np.cumsum(steps[:-1]) > 0
-                    doc = np.searchsorted(per, place, "right") - 1
-                    pairs = np.unique(doc * (len(items.ids) + 1) + items.item[suffix])
+                    doc = np.searchsorted(per, start, "right") - 1
+                    pairs = np.unique(doc * (len(items.ids) + 1) + item)
                     names: list[set] = [set() for _ in range(hi - lo)]
                     for pair in pairs.tolist():
                         names[pair // (len(items.ids) + 1)].add(items.ids[pair % (len(items.ids) + 1)])
@@ -251,6 +254,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
         carried = f"doc_id {kind}, text string, runs array<long>, items array<string>"
         rows = rows.mapInArrow(search, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if final else carried)
+        if not final:
+            rows = written(rows, "hits")
+        n += 1
     return rows
 
 
@@ -278,7 +284,7 @@ ORACLE = r"""
 WITH dw AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
 ), bw AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
 ), windows AS (
   SELECT DISTINCT item_id, least(10, len(words)) AS n, array_to_string(words[i+1:i+least(10, len(words))], ' ') AS w
   FROM (SELECT item_id, words, unnest(range(0, len(words) - least(10, len(words)) + 1)) AS i FROM bw WHERE len(words) > 0)
@@ -286,7 +292,7 @@ WITH dw AS (
   SELECT rid, i, n, array_to_string(words[i+1:i+n], ' ') AS w FROM (SELECT rid, words, n, unnest(range(0, len(words) - n + 1)) AS i FROM dw, sizes WHERE len(words) >= n)
 ), hits AS (SELECT rid, i, g.n, item_id FROM grams g JOIN windows USING (n, w)
 ), marks AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY rid
-), named AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY rid)
+), named AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT rid, item_id FROM hits) GROUP BY rid)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN marks USING (rid) LEFT JOIN named USING (rid)
 """

@@ -132,7 +132,9 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
-    """Per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """Per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_shingles, held_by_edited.
+
+    near_* are resemblances, n_shingles is the number of distinct shingles and held_by_edited the share of them in the edited text, all by estimate from the sketches.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     document's, in order of doc_id; after the last comes the first, and a document alone is its own next. Null doc_ids come first,
@@ -173,9 +175,11 @@ def edited_fingerprints(docs: DataFrame, k: int = K, shingle: int = SHINGLE) ->
                         pa.array([encoded(changed[i]) for i in keep], pa.string()),
                         pa.array([resemblance(own[i], changed[i], k) for i in keep], pa.float64()),
                         pa.array([resemblance(own[i], own[i + 1], k) for i in keep], pa.float64()),
+                        pa.array([distinct(own[i], k) for i in keep], pa.float64()),
+                        pa.array([containment(own[i], changed[i], k) for i in keep], pa.float64()),
                     ],
-                    ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                    ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "held_by_edited"],
                 )
 
-    out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    out = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, held_by_edited double"
     return in_order(docs).select("doc_id", "text", "tail").mapInArrow(run, out)

@@ -261,6 +261,16 @@ def test_fingerprints(spark, docs, no_docs, plain):
     for r in got.collect():
         by[r.doc_id].add(r.fingerprint)
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    grams = lambda t: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} if (w := SPACE.findall(t)) else set()
+    exact = defaultdict(list)
+    for k, (i, t) in enumerate(table):
+        q, after = len(t) // 4, table[(k + 1) % len(table)][1]
+        own, edited, next_ = grams(t), grams(t[: len(t) - q] + after[:q]), grams(after)
+        jaccard = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+        exact[i].append((jaccard(own, edited), jaccard(own, next_), len(own), len(own & edited) / len(own) if own else 1.0))
+    for r in got.collect():
+        full = max(e[2] for e in exact[r.doc_id]) >= sketches.K // 2
+        assert any(abs(r.near_edited - e[0]) <= 0.2 * full + 1e-9 and abs(r.near_next - e[1]) <= 0.2 * full + 1e-9 and abs(r.n_shingles - e[2]) <= 0.35 * full * e[2] and abs(r.held_by_edited - e[3]) <= 0.3 * full + 1e-9 for e in exact[r.doc_id])
     assert by[6] == by[7] and len(by[14]) == 1
     one = docs.where("doc_id = 9")
     assert [(r.doc_id, r.near_next) for r in sketches.edited_fingerprints(one).collect()] == [(9, 1.0)]
