@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """df computed once. With a checkpoint folder its lineage is cut there; a session without one gets a temporary folder, as tests do."""
+    """df computed once, its lineage cut in the checkpoint folder. A local session without one gets a temporary folder, as in tests; on a cluster that is an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
