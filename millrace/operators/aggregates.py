@@ -89,8 +89,9 @@ def ranked_first(df: DataFrame, key: str, rank: Column, value: str) -> DataFrame
 
 def deduplicated_sum(members: DataFrame, group: str, namespace: str, value: str) -> DataFrame:
     """Per group the sum over namespaces that members share, each counted once at its largest; members without one count alone."""
-    own = F.coalesce(F.col(namespace).cast("string"), F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string")))
-    return members.withColumn("space", own).groupBy(group, "space").agg(F.max(value).alias("v")).groupBy(group).agg(F.sum("v").alias(value))
+    shared = members.where(F.col(namespace).isNotNull()).groupBy(group, namespace).agg(F.max(value).alias("v")).select(group, "v")
+    alone = members.where(F.col(namespace).isNull()).groupBy(group).agg(F.sum(value).alias("v"))
+    return shared.unionByName(alone).groupBy(group).agg(F.sum("v").alias(value))
 
 
 def union_peak(members: DataFrame, group: str, pos: str, value: str) -> DataFrame:

@@ -8,16 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir
+
 
 def _settled(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut in the checkpoint folder. A local session without one gets a temporary folder, as in tests; on a cluster that is an error."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+    """df computed once, its lineage cut in the checkpoint folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -51,11 +47,46 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component, size) of nodes on a cycle, the component named by its smallest node. Self-loops alone make no component."""
-    c = closure(edges)
-    mutual = c.join(c.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
-    named = mutual.where("src <> dst").groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("component")).withColumnRenamed("src", "node")
-    return named.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("component")))
+    """(node, component, size) of nodes on a cycle, the component named by its smallest node. Self-loops alone make no component.
+
+    Each round every node takes the smallest node that reaches it as its colour; of a colour, the nodes that reach the node
+    it is named by are that node's component. They leave the graph, with edges between colours and nodes that lack an edge in
+    or out, and the rest goes on. Tables hold a row per node or edge, never a row per pair that a path joins.
+    """
+    left = _settled(edges.where("src <> dst").select("src", "dst").distinct())
+    found = None
+    while True:
+        while True:  # a node on a cycle has edges both ways
+            trimmed = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            trimmed = _settled(trimmed.select("src", "dst"))
+            same = trimmed.count() == left.count()
+            left = trimmed
+            if same:
+                break
+        if left.isEmpty():
+            break
+        colour = _settled(left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            offers = left.join(colour, left.src == colour.node).select(F.col("dst").alias("node"), "colour").unionByName(colour)
+            after = _settled(offers.groupBy("node").agg(F.min("colour").alias("colour")))
+            stable = after.join(colour.withColumnRenamed("colour", "was"), "node").where("colour <> was").isEmpty()
+            colour = after
+            if stable:
+                break
+        of = lambda side: colour.select(F.col("node").alias(side), F.col("colour").alias(f"c_{side}"))
+        inside = _settled(left.join(of("src"), "src").join(of("dst"), "dst").where("c_src = c_dst").select("src", "dst"))
+        known = fresh = _settled(colour.where("node = colour"))
+        while not fresh.isEmpty():
+            step = inside.join(fresh, inside.dst == fresh.node).select(F.col("src").alias("node"), "colour").distinct()
+            fresh = _settled(step.join(known, "node", "left_anti"))
+            known = _settled(known.unionByName(fresh))
+        found = known if found is None else found.unionByName(known)
+        gone = known.select("node")
+        left = _settled(inside.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    if found is None:
+        return left.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size"))
+    sizes = found.groupBy("colour").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return found.join(sizes, "colour").select("node", F.col("colour").alias("component"), "size")
 
 
 def cycle_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -108,6 +139,37 @@ def roots(parents: DataFrame) -> DataFrame:
     return out.join(parents.select("node"), "node", "left_semi")
 
 
+def open_ancestors(issues: DataFrame) -> DataFrame:
+    """(node, root, cyclic, incomplete, ambiguous, unknown) of issues(node, parent, open, complete, refs): the top open issue of each one's chain of parents.
+
+    Itself counts, and where no issue on the chain is open it is its own root; a chain that runs into a cycle with open
+    members has the smallest of these. incomplete, ambiguous and unknown count the issues on the chain whose metadata is incomplete, whose text names several
+    parents, and whose parent is no issue. Each round doubles the steps up.
+    """
+    known = issues.select(F.col("node").alias("parent")).withColumn("known", F.lit(True))
+    rows = issues.join(known, "parent", "left").select(
+        "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.when(F.col("open"), F.col("node")).alias("top"), F.when(F.col("open"), F.col("node")).alias("least"),
+        (~F.coalesce("complete", F.lit(True))).cast("long").alias("incomplete"), (F.size(F.coalesce("refs", F.array().cast("array<bigint>"))) > 1).cast("long").alias("ambiguous"), (F.col("parent").isNotNull() & F.col("known").isNull()).cast("long").alias("unknown"),
+    )
+    counts = ("incomplete", "ambiguous", "unknown")
+    cyclic = roots(issues.select("node", F.col("parent"))).select("node", F.col("root").alias("loop"), "cyclic")
+    onward = _settled(rows.join(cyclic, "node"))
+    # nodes on a cycle end the chains that run into it
+    on_cycle = _settled(onward.where("cyclic").select(F.col("node").alias("src"), F.col("up").alias("dst")))
+    members = strong_components(on_cycle).select("node", "component").unionByName(on_cycle.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")))
+    least = members.join(onward.select("node", "least", *counts), "node").groupBy("component").agg(F.min("least").alias("ring_least"), *[F.sum(c).alias(f"ring_{c}") for c in counts])
+    ring = members.join(least, "component").drop("component")
+    up = onward.join(ring, "node", "left")
+    in_ring = F.col("ring_incomplete").isNotNull()
+    up = _settled(up.select("node", F.when(~in_ring, F.col("up")).alias("up"), F.when(in_ring, F.coalesce("ring_least", "top")).otherwise(F.col("top")).alias("top"), "cyclic", *[F.coalesce(f"ring_{c}", c).alias(c) for c in counts]))
+    for _ in range(up.count().bit_length()):
+        far = up.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), *[F.col(c).alias(f"{c}2") for c in counts])
+        up = _settled(up.join(far, "up", "left").select("node", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"), "cyclic", *[(F.col(c) + F.coalesce(f"{c}2", F.lit(0))).alias(c) for c in counts]))
+        if up.where("up IS NOT NULL").isEmpty():
+            break
+    return up.select("node", F.coalesce("top", "node").alias("root"), "cyclic", *counts)
+
+
 def chosen_parent(nodes: DataFrame) -> DataFrame:
     """nodes(node, native, refs): the native parent, else the only one that the text names; several are ambiguous."""
     refs = F.array_distinct(F.coalesce("refs", F.array().cast("array<bigint>")))

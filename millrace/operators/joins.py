@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import ordered
+
 
 def identity_join(before: DataFrame, after: DataFrame, key: str, identity: Sequence[str]) -> DataFrame:
     """Rows of two snapshots whose key is in both with an equal identity; after's columns, and before's as struct `was`."""
@@ -36,13 +38,13 @@ def prefixes(path: Column) -> Column:
 def path_join(rows: DataFrame, path: str, scopes: DataFrame, scope_path: str) -> DataFrame:
     """Rows with their innermost scope whose path is theirs or a parent of it; null scope columns where none is.
 
-    An equi-join on the parents of each path, not a comparison of every pair.
+    An equi-join on the parents of each distinct path, not a comparison of every pair; its scope comes back by the path.
     """
-    keyed = rows.withColumn("row_no", F.monotonically_increasing_id())
-    wide = keyed.select("row_no", F.explode(prefixes(F.col(path))).alias("at"))
+    paths = rows.select(F.col(path).alias("row_path")).where("row_path IS NOT NULL").distinct()
+    wide = paths.select("row_path", F.explode(prefixes(F.col("row_path"))).alias("at"))
     hit = wide.join(scopes.withColumnRenamed(scope_path, "at"), "at")
-    best = hit.groupBy("row_no").agg(F.max_by(F.struct(*[c for c in scopes.columns if c != scope_path], F.col("at").alias(scope_path)), F.length("at")).alias("scope"))
-    return keyed.join(best, "row_no", "left").drop("row_no")
+    best = hit.groupBy("row_path").agg(F.max_by(F.struct(*[c for c in scopes.columns if c != scope_path], F.col("at").alias(scope_path)), F.length("at")).alias("scope"))
+    return rows.join(best, F.col(path) == F.col("row_path"), "left").drop("row_path")
 
 
 def successor(starts: DataFrame, events: DataFrame, key: Sequence[str], at: str) -> DataFrame:
@@ -190,9 +192,10 @@ def attempts_verdict(assignments: DataFrame, attempts: DataFrame) -> DataFrame:
 
 
 def latest_artifacts(rows: DataFrame, identity: Sequence[str], order: str, group: Sequence[str], newest: str) -> DataFrame:
-    """First the earliest row per identity, then of those the newest per group."""
-    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*identity).orderBy(order))).where("nth = 1").drop("nth")
-    return first.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(newest)))).where("nth = 1").drop("nth")
+    """First the earliest row per identity, then of those the newest per group; ties go by the other columns."""
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*identity).orderBy(*ordered(rows, identity, order)))).where("nth = 1").drop("nth")
+    last = Window.partitionBy(*group).orderBy(F.desc(newest), *ordered(rows, group, newest))
+    return first.withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth")
 
 
 def attribution(files: DataFrame, *claims: tuple[str, DataFrame]) -> DataFrame:

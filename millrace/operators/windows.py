@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def ordered(df: DataFrame, key: Sequence[str], at: str) -> list[Column]:
+    """at, then every other column that can be ordered: ties in `at` have an order that does not depend on how rows were dealt."""
+    rest = [c for c, kind in df.dtypes if c != at and c not in key and not kind.startswith(("map", "variant"))]
+    return [F.col(at), *[F.col(c) for c in sorted(rest)]]
+
+
 def newest(df: DataFrame, key: Sequence[str], generation: str, failure: Column) -> DataFrame:
     """Per key the row of the newest generation, with ties: how many rows share it.
 
@@ -52,13 +58,14 @@ def sliding_max(df: DataFrame, key: Sequence[str], order: Sequence[str], value:
 
 def exceedance(df: DataFrame, key: Sequence[str], at: str, value: str, limit: float, gap_s: float, need: int) -> DataFrame:
     """Counts consecutive rows above a limit: a row not above it, or a gap of more than gap_s before it, starts anew; `due` from the need-th on."""
-    w = Window.partitionBy(*key).orderBy(at)
+    order = ordered(df, key, at)
+    w = Window.partitionBy(*key).orderBy(*order)
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     over = F.col(value) > limit
     rows = df.withColumn("over", over).withColumn("gap", (micros - F.lag(micros).over(w)) / 1e6)
     reset = (~F.col("over") | F.coalesce(F.col("gap") > gap_s, F.lit(True))).cast("int")
     rows = rows.withColumn("island", F.sum(reset).over(w))
-    count = F.sum(F.col("over").cast("int")).over(Window.partitionBy(*key, "island").orderBy(at))
+    count = F.sum(F.col("over").cast("int")).over(Window.partitionBy(*key, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumn("streak", F.when(F.col("over"), count).otherwise(0).cast("long")).withColumn("due", F.col("streak") >= need).drop("island", "over", "gap")
 
 
@@ -72,7 +79,7 @@ def counter_rates(df: DataFrame, key: Sequence[str], at: str, counter: str, orde
 
 def debounced(df: DataFrame, key: Sequence[str], at: str, signature: str, confirm: float) -> DataFrame:
     """Rows whose signature has stood unchanged for at least `confirm` (units of at) counts as confirmed."""
-    w = Window.partitionBy(*key).orderBy(at)
+    w = Window.partitionBy(*key).orderBy(*ordered(df, key, at))
     change = (~F.col(signature).eqNullSafe(F.lag(signature).over(w))).cast("int")
     rows = df.withColumn("run", F.sum(change).over(w))
     return rows.withColumn("confirmed", F.col(at) - F.min(at).over(Window.partitionBy(*key, "run")) >= confirm).drop("run")
@@ -80,7 +87,7 @@ def debounced(df: DataFrame, key: Sequence[str], at: str, signature: str, confir
 
 def absence_windows(df: DataFrame, key: Sequence[str], at: str, identity: str, gap: float) -> DataFrame:
     """Per row since when the same identity is observed without a gap of more than `gap`; an incomplete observation (null identity) clears."""
-    w = Window.partitionBy(*key).orderBy(at)
+    w = Window.partitionBy(*key).orderBy(*ordered(df, key, at))
     new = (F.col(identity).isNull() | ~F.col(identity).eqNullSafe(F.lag(identity).over(w)) | F.coalesce(F.col(at) - F.lag(at).over(w) > gap, F.lit(True))).cast("int")
     rows = df.withColumn("run", F.sum(new).over(w))
     return rows.withColumn("since", F.when(F.col(identity).isNotNull(), F.min(at).over(Window.partitionBy(*key, "run")))).drop("run")
@@ -211,7 +218,7 @@ def deadlines(df: DataFrame, *sources: str) -> DataFrame:
 
 def episodes(df: DataFrame, key: Sequence[str], at: str, short: str) -> DataFrame:
     """Drain episodes: runs of rows with a shortage, with their age at each row."""
-    w = Window.partitionBy(*key).orderBy(at)
+    w = Window.partitionBy(*key).orderBy(*ordered(df, key, at))
     start = (F.col(short) & ~F.coalesce(F.lag(short).over(w), F.lit(False))).cast("int")
     rows = df.withColumn("episode", F.sum(start).over(w))
     first = F.min(F.when(F.col(short), F.col(at))).over(Window.partitionBy(*key, "episode"))
@@ -220,5 +227,5 @@ def episodes(df: DataFrame, key: Sequence[str], at: str, short: str) -> DataFram
 
 def progress(df: DataFrame, key: Sequence[str], at: str, units: str) -> DataFrame:
     """The greatest units reported per key, and whether any report went back."""
-    w = Window.partitionBy(*key).orderBy(at)
+    w = Window.partitionBy(*key).orderBy(*ordered(df, key, at))
     return df.withColumn("back", F.coalesce(F.col(units) < F.lag(units).over(w), F.lit(False))).groupBy(*key).agg(F.max(units).alias("units"), F.bool_or("back").alias("regressed"))

@@ -53,7 +53,9 @@ def table_lines(df: DataFrame, widths: dict[str, int]) -> DataFrame:
 
 
 def markdown(df: DataFrame, limit: int = 100) -> str:
-    """The first rows of a small ranked report as a Markdown table."""
+    """The first rows of a ranked report as a Markdown table; where there are more than limit, a last line says so."""
     clean = lambda v: str("" if v is None else v).replace("\\", "\\\\").replace("|", "\\|").replace("\n", " ")
-    rows = [df.columns, ["---"] * len(df.columns), *([clean(v) for v in r] for r in df.limit(limit).collect())]
-    return "\n".join("| " + " | ".join(r) + " |" for r in rows)
+    found = df.limit(limit + 1).collect()
+    rows = [df.columns, ["---"] * len(df.columns), *([clean(v) for v in r] for r in found[:limit])]
+    more = [f"\nOnly the first {limit} rows are shown."] if len(found) > limit else []
+    return "\n".join(["| " + " | ".join(r) + " |" for r in rows] + more)

@@ -135,6 +135,65 @@ def test_near_duplicates_by_brute_force(spark):
     assert rest <= found and {frozenset((0, 17)), frozenset((0, 18))} <= found
 
 
+def test_alike_titles_meet_whatever_their_first_word_and_length(spark):
+    """Against every pair: titles that differ in the first word, in length across tens, in marks, case and punctuation."""
+    import difflib
+    import random
+    import re
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeiourstln") for _ in range(rng.randrange(2, 9)))
+    titles = ["Worker holds its lease while the host drains", "A Worker holds its lease while the host drains", "[P1] worker: holds its LEASE while the host drains!", "[P9] Worker holds its lease", "", None, "ÄÖ — ß", "äö ß"]
+    for _ in range(60):
+        base = " ".join(word() for _ in range(rng.randrange(4, 14)))
+        titles.append(base)
+        for _ in range(rng.randrange(4)):
+            t = list(base)
+            for _ in range(rng.randrange(1, 7)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randrange(2)] = rng.choice("aeiou xyz")
+            titles.append("".join(t))
+    plain = [re.sub(r"\W+", " ", re.sub(K.TITLE_MARK, "", t or "").lower()).strip() for t in titles]
+    root = list(range(len(titles)))
+    for i in range(len(titles)):
+        for j in range(i + 1, len(titles)):
+            a, b = plain[i], plain[j]
+            if a and b and (a == b or (min(len(a), len(b)) >= 30 and difflib.SequenceMatcher(None, a, b).ratio() >= 0.92)):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    expected = {i: r for i, r in enumerate(root) if root.count(r) > 1}
+    assert len(expected) > 30 and {0, 1, 2} <= set(expected)
+    got = K.title_clusters(spark.createDataFrame(list(enumerate(titles)), "k int, t string").repartition(4), "k", "t")
+    assert {r.node: r.component for r in got.collect()} == expected
+
+
+def test_open_ancestors(spark):
+    """Chains, cycles with and without open members, unknown parents, against a walk."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, None if rng.random() < 0.2 else rng.randrange(70), rng.random() < 0.5, rng.random() < 0.9, [1, 2] if rng.random() < 0.2 else []) for i in range(60)]
+    by = {r[0]: r for r in rows}
+    expected = {}
+    for i in by:
+        path, cur, root = [], i, i
+        cyclic = False
+        while cur in by:
+            if cur in path:
+                ring = [k for k in path[path.index(cur):] if by[k][2]]
+                root, cyclic = (min(ring) if ring else root), True
+                break
+            path.append(cur)
+            if by[cur][2]:
+                root = cur
+            if by[cur][1] is None:
+                break
+            cur = by[cur][1]
+        expected[i] = (root, cyclic, sum(not by[k][3] for k in path), sum(len(by[k][4]) > 1 for k in path), sum(by[k][1] is not None and by[k][1] not in by for k in path))
+    got = G.open_ancestors(spark.createDataFrame(rows, "node long, parent long, open boolean, complete boolean, refs array<bigint>"))
+    assert {r.node: (r.root, r.cyclic, r.incomplete, r.ambiguous, r.unknown) for r in got.collect()} == expected
+
+
 def test_title_clusters(spark):
     rows = [(1, "Worker loses its lease after a clock step"), (2, "worker loses its lease after a clock steps"), (3, "Other"), (4, " other"), (5, "Worker of another kind entirely and long")]
     assert {r.node: r.component for r in K.title_clusters(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
