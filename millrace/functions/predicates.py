@@ -84,6 +84,41 @@ def topic_filter(text: Column, pattern: str = r"^[a-z][a-z0-9_.-]{0,63}$", limit
     return F.when((F.size(parts) <= limit) & F.forall(parts, lambda p: p.rlike(pattern)), parts)
 
 
+def unmeasured_refusal(source: Column, decision: Column) -> Column:
+    """Of a JSON decision: a fresh CPU refusal for a busy measurement host whose baseline is unmeasured and exceeded. Unknown is false."""
+    at = lambda path: F.get_json_object(decision, path)
+    wanted = (source == "adaptive_cpu_refused") & (at("$.reason") == "measurement_host_not_idle") & (at("$.fresh") == "true") & (at("$.baseline.basis") == "unmeasured") & (at("$.baseline.exceeds") == "true")
+    return F.coalesce(wanted, F.lit(False))
+
+
+def replenish_ok(grant_outstanding: Column, need_gib: Column, prior_retired: Column) -> Column:
+    """No grant is outstanding, there is a real need, and every earlier leg is known to be retired."""
+    return F.coalesce(~grant_outstanding & (need_gib > 0) & prior_retired, F.lit(False))
+
+
+def preempted(preempted_by: Column, status: Column, generation: Column) -> Column:
+    """A withdrawn ending of a generation that names what took its place."""
+    return generation.isNotNull() & preempted_by.isNotNull() & F.coalesce(status == "withdrawn", F.lit(False))
+
+
+def runs_any(argv: Column, names: Sequence[str]) -> Column:
+    """Some argument's last path component is one of the names."""
+    return F.coalesce(F.exists(argv, lambda part: F.element_at(F.split(F.rtrim(part, F.lit("/")), "/"), -1).isin(*names)), F.lit(False))
+
+
+def write_space(free_bytes: Column, total_bytes: Column, allowance_gib: Column, floor_fraction: Column, to_write: Column, gib: int = 1 << 30) -> Column:
+    """A write leaves the floor of the disk free, and one and a half times its size and 20 GiB are there before it, the allowance taken off. Unknown fails."""
+    available = free_bytes - F.ceil(allowance_gib * gib)
+    floor = F.ceil(total_bytes * floor_fraction)
+    return F.coalesce((available - to_write >= floor) & (available >= F.ceil(1.5 * to_write) + 20 * gib), F.lit(False))
+
+
+def held_back(withheld_for: Column, withheld_kinds: Column, takes_kind: Column, reserving_priority: Column, withheld_priority: Column) -> Column:
+    """A row waits while something withholds all kinds or one it takes, unless it reserves at the withholder's priority or above."""
+    held = withheld_for.isNotNull() & (withheld_kinds.isNull() | takes_kind)
+    return held & ~F.coalesce(withheld_priority <= reserving_priority, F.lit(False))
+
+
 def all_agree(df: DataFrame, group: Sequence[str], digest: str) -> DataFrame:
     """Per group whether all digests are there and equal; no evidence is no agreement."""
     return df.groupBy(*group).agg(((F.count_distinct(digest) == 1) & (F.count(digest) == F.count(F.lit(1)))).alias("agree"))

@@ -211,3 +211,8 @@ def queue_row(action: Column) -> Column:
         action["params"]["placement"]["tags"].alias("tags"),
         F.coalesce(action["params"]["retry_policy"]["max_attempts"], F.lit(1)).alias("max_attempts"),
     )
+
+
+def label_span(total_bytes: Column) -> Column:
+    """The span of a batch in its manifest's own coordinates; null for a total that is not positive."""
+    return F.when(total_bytes > 0, F.struct(F.lit("output-manifest").alias("coordinate_space"), F.lit(0).cast("long").alias("start_bytes"), total_bytes.cast("long").alias("end_bytes")))

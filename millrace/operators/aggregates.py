@@ -157,3 +157,28 @@ def throughput(moves: DataFrame) -> DataFrame:
     rate = F.when(F.col("ended") > F.col("begun"), F.col("bytes") / (F.col("ended") - F.col("begun")))
     g = moves.withColumn("rate", rate).groupBy("host").agg(F.sum("bytes").alias("bytes"), (F.max("ended") - F.min("begun")).alias("span"), F.max("rate").alias("best"))
     return g.withColumn("rate", F.when(F.col("span") > 0, F.col("bytes") / F.col("span")))
+
+
+def attribute_census(items: DataFrame) -> DataFrame:
+    """items(bytes, attributes map of name to struct(state, errno)) in all: rows (name, state, errno, n, bytes); the totals stand under a null name."""
+    totals = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    none = F.lit(None).cast("string")
+    head = totals.select(none.alias("name"), none.alias("state"), F.lit(None).cast("int").alias("errno"), "n", "bytes")
+    each = items.select(F.explode("attributes").alias("name", "a")).groupBy("name", F.col("a.state").alias("state"), F.col("a.errno").cast("int").alias("errno"))
+    return head.unionByName(each.agg(F.count(F.lit(1)).alias("n")).withColumn("bytes", F.lit(None).cast(dict(head.dtypes)["bytes"])))
+
+
+def stack_costs(stacks: DataFrame, rate: float, rules: Sequence[tuple[str, str]], worker: str) -> DataFrame:
+    """Thread seconds by cost of folded stacks(value), 'frame;frame count' lines: thread (worker or main), category, seconds, share of its thread.
+
+    A stack's category is the first of the (category, pattern) rules that it matches, else other; stacks that match `worker` are the
+    worker's. Lines without a count are skipped.
+    """
+    count = F.regexp_extract("value", r" ([0-9]+)$", 1).try_cast("long")
+    category = F.lit("other")
+    for name, pattern in reversed(rules):
+        category = F.when(F.col("value").rlike(pattern), name).otherwise(category)
+    rows = stacks.select(F.when(F.col("value").rlike(worker), "worker").otherwise("main").alias("thread"), category.alias("category"), count.alias("n")).where("n IS NOT NULL")
+    per = rows.groupBy("thread", "category").agg(F.sum("n").alias("n"))
+    whole = F.sum("n").over(Window.partitionBy("thread"))
+    return per.select("thread", "category", F.round(F.col("n") / rate, 2).alias("seconds"), F.round(F.col("n") / whole, 4).alias("share"))

@@ -229,3 +229,70 @@ def progress(df: DataFrame, key: Sequence[str], at: str, units: str) -> DataFram
     """The greatest units reported per key, and whether any report went back."""
     w = Window.partitionBy(*key).orderBy(*ordered(df, key, at))
     return df.withColumn("back", F.coalesce(F.col(units) < F.lag(units).over(w), F.lit(False))).groupBy(*key).agg(F.max(units).alias("units"), F.bool_or("back").alias("regressed"))
+
+
+def due_deadlines(observations: DataFrame, key: Sequence[str], order: Sequence[str], deadlines_: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(keys with a deadline at or before now, each with its deadlines still ahead; the earliest deadline still ahead) of the last observation per key.
+
+    An observation replaces the deadlines of the one before; each is consumed once, so what is due leaves only later ones.
+    """
+    last = observations.groupBy(*key).agg(F.max_by(deadlines_, F.struct(*order)).alias("held"))
+    rows = last.withColumn("ahead", F.filter("held", lambda d: d > now))
+    due = rows.where(F.exists("held", lambda d: d <= now)).select(*key, "ahead")
+    return due, rows.agg(F.min(F.array_min("ahead")).alias("next_deadline"))
+
+
+def coalesced_runs(events: DataFrame, key: Sequence[str], order: str, first_delay: float = 0.25, most: float = 5.0) -> DataFrame:
+    """What a latched flag with retries does with events(kind changed, failed or completed): a row per event with state (dirty or clean), retry_at and coalesced.
+
+    A change sets the flag, and one that finds it set is coalesced; it cancels a pending retry, as a completion does, which clears the flag.
+    A failure keeps the flag and retries after first_delay, which doubles with each failure in a row up to `most`.
+    """
+    w = Window.partitionBy(*key).orderBy(*ordered(events, key, order))
+    rows = events.withColumn("reset", F.sum((F.col("kind") != "failed").cast("int")).over(w))
+    run = Window.partitionBy(*key, "reset").orderBy(*ordered(events, key, order))
+    fails = F.sum((F.col("kind") == "failed").cast("int")).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("fails", fails).withColumn("was", F.lag("kind").over(w))
+    retry = F.when(F.col("kind") == "failed", F.col(order) + F.least(F.lit(most), F.lit(first_delay) * F.pow(F.lit(2.0), F.col("fails") - 1)))
+    dirty = F.col("kind") != "completed"
+    merged = (F.col("kind") == "changed") & F.coalesce(F.col("was") != "completed", F.lit(False))
+    return rows.withColumn("state", F.when(dirty, "dirty").otherwise("clean")).withColumn("retry_at", retry).withColumn("coalesced", merged).drop("reset", "fails", "was")
+
+
+def drain_verdicts(questions: DataFrame, holders: DataFrame, ceiling: float, starvation: int = 3) -> DataFrame:
+    """Whether to withhold a host's room until its holders drain: questions and holders to key, eligible, withhold, why, covered, in_way, age, epoch and expired.
+
+    questions(key, mode, need, available, passes, first_unix, foreign_unix, epoch_unix, expired_unix, now): need and available are maps of
+    kind to amount, the stamps those of earlier passes. holders(key, holder, bound, claimed_unix, counts): bound is transient, unknown or lasting; an unknown one counts as
+    transient while the question is no older than the ceiling.
+
+    In order: before `starvation` passes nothing is withheld; foreign load within the ceiling waits; without holders an in-flight
+    change is waited for up to the ceiling; holders that drain must cover every short kind (in mode exclusive none may be lasting). A claim since the
+    episode began and before it expired is a refill: refills beyond the ceiling expire the episode, and an expired one without refills starts anew.
+    """
+    q = questions.withColumn("age", F.greatest(F.lit(0.0), F.col("now") - F.coalesce("first_unix", "now")))
+    have = lambda kind: F.coalesce(F.try_element_at("available", kind), F.lit(0))
+    q = q.withColumn("short", F.map_filter(F.transform_values("need", lambda k, v: v - have(k)), lambda _, v: v > 0)).withColumn("eligible", F.coalesce("passes", F.lit(0)) + 1 >= starvation)
+    rows = holders.join(q.select("key", "age", "epoch_unix", "expired_unix", "now"), "key")
+    drains = (F.col("bound") == "transient") | ((F.col("bound") == "unknown") & (F.col("age") <= ceiling))
+    epoch = F.coalesce("epoch_unix", "now")
+    refill = drains & (F.col("claimed_unix") > epoch) & (F.col("expired_unix").isNull() | (F.col("claimed_unix") < F.col("expired_unix")))
+    per = rows.groupBy("key").agg(F.count_if(drains).alias("draining"), F.count_if(~drains).alias("in_way"), F.count_if(~drains & (F.col("bound") == "unknown")).alias("unknown_in_way"), F.count_if(F.coalesce(refill, F.lit(False))).alias("refills"))
+    kinds = rows.where(drains).select("key", F.explode("counts").alias("kind", "n")).groupBy("key", "kind").agg(F.sum("n").alias("n")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("covered"))
+    q = q.join(per, "key", "left").join(kinds, "key", "left").fillna(0, ["draining", "in_way", "unknown_in_way", "refills"])
+    covers = F.when(F.col("mode") == "exclusive", F.col("in_way") == 0).otherwise(F.forall(F.map_entries("short"), lambda e: F.coalesce(F.try_element_at("covered", e["key"]), F.lit(0)) >= e["value"]))
+    foreign = F.coalesce(F.col("now") - F.col("foreign_unix") <= ceiling, F.lit(False))
+    nobody = (F.col("draining") == 0) & (F.col("in_way") == 0)
+    started_anew = F.col("expired_unix").isNotNull() & (F.col("refills") == 0)
+    expires_now = F.col("expired_unix").isNull() & (F.col("refills") > 0) & (F.col("now") - epoch > ceiling)
+    q = q.withColumn("why", (
+        F.when(~F.col("eligible"), "not_starved").when(foreign, "foreign_load")
+        .when(nobody, F.when(F.col("mode") == "exclusive", "foreign_load").when(F.col("age") <= ceiling, "in_flight").otherwise("unknown_past_ceiling"))
+        .when(~covers, F.when(F.col("in_way") == 0, "holders_cannot_cover").when(F.col("unknown_in_way") == F.col("in_way"), "unknown_past_ceiling").otherwise("holder_does_not_drain_soon"))
+        .when(expires_now | (F.col("expired_unix").isNotNull() & ~started_anew), "refilled_past_ceiling").otherwise("drains_soon")
+    ))
+    runs = F.col("why").isin("drains_soon", "refilled_past_ceiling")
+    return q.select(
+        "key", "eligible", F.col("why").isin("drains_soon", "in_flight").alias("withhold"), "why", "draining", "in_way", "age",
+        F.when(runs, F.when(started_anew, F.col("now")).otherwise(epoch)).alias("epoch"), F.when(runs & ~started_anew, F.when(expires_now, F.col("now")).otherwise(F.col("expired_unix"))).alias("expired"),
+    )

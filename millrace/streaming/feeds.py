@@ -128,3 +128,16 @@ def topic_of(path: Column, rules: Sequence[tuple[str, str]]) -> Column:
     for topic, pattern in reversed(rules):
         out = F.when(path.rlike(pattern), F.struct(F.lit(topic).alias("topic"), F.regexp_extract(path, pattern, 1).alias("id"))).otherwise(out)
     return out
+
+
+def wake_sources(*sources: tuple[str, DataFrame]) -> DataFrame:
+    """One stream of the (name, frame with host and at) sources that may wake a waiter: host, at, source."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b), [df.select("host", "at", F.lit(name).alias("source")) for name, df in sources])
+
+
+def wakes(stream: DataFrame, width: str, late: str) -> DataFrame:
+    """The first wake of each host and window of a merged stream, with the sources that rang in it; what comes later than the watermark is dropped."""
+    g = stream.withWatermark("at", late).groupBy("host", F.window("at", width))
+    return g.agg(F.min("at").alias("at"), F.array_sort(F.collect_set("source")).alias("sources")).select("host", "at", "sources")

@@ -310,14 +310,160 @@ def test_dashboard(spark):
     assert {r.host for r in M.label_values(m, "ram", "host").collect()} == {"a", "b"}
 
 
-def test_source_table_functions(spark):
+def _rows_of(spark, function, text, *args):
+    spark.createDataFrame([(text,)], "src string").createOrReplaceTempView("one_source")
+    more = "".join(f", '{a}'" for a in args)
+    return [tuple(r) for r in spark.sql(f"SELECT f.* FROM one_source, LATERAL {function}(src{more}) f").collect()]
+
+
+def test_function_definitions(spark):
+    """A changed default, decorator or annotation changes the function and what runs on import; a changed body only the function."""
+    S.register(spark)
+    base = "N = 1\nclass K:\n    def g(self, a=1):\n        def inner():\n            return a\n        return inner\n@deco\nasync def h(x: int) -> str:\n    return x\nif N:\n    def h(): pass\n"
+    rows = dict(_rows_of(spark, "function_definitions", base))
+    assert set(rows) == {"K.g", "K.g.<locals>.inner", "h", "<module>"} and rows["h"].count("FunctionDef(") == 2
+    module = lambda text: dict(_rows_of(spark, "function_definitions", text))["<module>"]
+    assert module(base.replace("return x", "return x + 1")) == rows["<module>"] == module(base.replace("return inner", "return 7"))
+    for changed in (base.replace("a=1", "a=2"), base.replace("@deco", "@other"), base.replace("x: int", "x: float"), base.replace("-> str", "-> int"), base.replace("N = 1", "N = 2"), base.replace("K", "L"), base.replace("if N", "if not N")):
+        assert module(changed) != rows["<module>"]
+    assert _rows_of(spark, "function_definitions", "def (")[0][0] == "<error>"
+    assert [n for n, _ in _rows_of(spark, "function_definitions", None)] == ["<module>"]
+
+
+def test_weak_assertions(spark):
+    S.register(spark)
+    text = """
+class T:
+    def test_a(self):
+        assert True
+        assert 0
+        assert (1, 'x')
+        assert x.y == x.y
+        assert x.y < x.y
+        assert f() == f()
+        self.assertEqual(1, 1.0)
+        self.assertEqual(a, a)
+        self.assertTrue(0)
+        self.assertFalse(0)
+        self.assertIsNone(None)
+        assertIsNotNone(3)
+        self.assertGreater(a, a)
+def test_b():
+    try:
+        check()
+        self.assertIn(1, x)
+    except (KeyError, AssertionError):
+        'nothing'
+        pass
+    except ValueError:
+        pass
+    try:
+        check()
+    except Exception:
+        pass
+    try:
+        assert x
+    except Exception:
+        raise
+    try:
+        assert x
+    except:
+        return
+def helper():
+    assert True
+"""
+    got = _rows_of(spark, "weak_assertions", text)
+    line = lambda part: next(i for i, t in enumerate(text.split("\n"), 1) if part in t)
+    assert {(t, r) for t, _, r in got} == {("test_a", "constant"), ("test_a", "self comparison"), ("test_b", "swallowed")}
+    assert sorted(n for t, n, r in got if r == "constant") == [line("assert True"), line("(1, 'x')"), line("assertEqual(1, 1.0)"), line("assertFalse(0)"), line("assertIsNone(None)"), line("assertIsNotNone(3)")]
+    assert sorted(n for t, n, r in got if r == "self comparison") == [line("x.y == x.y"), line("assertEqual(a, a)")]
+    assert sorted(n for t, n, r in got if r == "swallowed") == [line("except (KeyError"), line("except:")]
+    assert _rows_of(spark, "weak_assertions", "def (") == _rows_of(spark, "weak_assertions", None) == []
+
+
+def test_markers(spark):
+    S.register(spark)
+    found = lambda text: sorted(_rows_of(spark, "test_markers", text, "needs"), key=repr)
+    assert found("@pytest.mark.needs('gpu', 'x86')\ndef t(): pass\npytestmark = pytest.mark.needs('gpu')\n@pytest.mark.slow('z')\ndef u(): pass\n# mark.needs('no')\ns = \"mark.needs('no')\"") == [("gpu", None), ("x86", None)]
+    assert found("@pytest.mark.needs(kind='gpu')\ndef t(): pass") == [(None, "keyword arguments")]
+    assert found("@pytest.mark.needs('a', NAME)\ndef t(): pass") == [(None, "an argument that is no constant name")] == found("m = pytest.mark.needs('')")
+    assert found("def (\npytest.mark.needs('gpu')") == [(None, "does not parse")] and found("def (") == found(None) == []
+
+
+def test_references(spark):
+    S.register(spark)
+    text = """
+import os.path
+from pathlib import Path
+ROOT = Path(__file__).resolve().parent.parent
+DATA = ROOT / 'data'
+if ROOT:
+    NAME = 'one'
+else:
+    NAME = 'two'
+FILE = os.path.join('conf', NAME, 'x.json')
+def f(other):
+    DATA = other
+    return DATA / 'hidden', open(ROOT / 'docs' / 'a.md'), 'plain/path.txt', 'no path here/'
+g = DATA.joinpath('sub', unknown()), DATA.glob('*.txt')
+"""
+    got = {r for (r,) in _rows_of(spark, "source_references", text, "pkg/tests/t.py")}
+    assert {"os.path", "pathlib", "pkg/data", "pkg/docs/a.md", "conf/one/x.json", "conf/two/x.json", "plain/path.txt", "pkg/data/sub/**", "pkg/data/**"} <= got
+    assert not {x for x in got if "hidden" in x} and "no path here/" not in got
+    assert _rows_of(spark, "source_references", "def (", "a.py") == []
+
+
+def test_literal_declarations(spark):
     S.register(spark)
-    text = "import os.path\nfrom a.b import c\nN = [1, 2]\nM = f()\nclass K:\n    def g(self):\n        return 'dir/x.py'\ndef h():\n    assert True\n    assert 1 == 1\n    assert (h, 'x')\n@pytest.mark.slow\ndef t(): pass\n"
-    df = spark.createDataFrame([(text,), ("def (",), (None,)], "src string")
-    df.createOrReplaceTempView("sources")
-    rows = lambda f: {tuple(r) for r in spark.sql(f"SELECT f.* FROM sources, LATERAL {f}(src) f").collect()}
-    assert {n for n, _ in rows("function_definitions")} == {"K.g", "h", "t"}
-    assert rows("literal_declarations") == {("N", "[1, 2]")}
-    assert rows("source_references") == {("os.path",), ("a.b",), ("dir/x.py",)}
-    assert {r for _, r in rows("weak_assertions")} == {"constant", "self comparison", "tuple"}
-    assert rows("test_markers") == {("slow",)}
+    assert set(_rows_of(spark, "literal_declarations", "N = [1, 2]\nM = f()\nK: int = 3\nL: int\n")) == {("N", "[1, 2]"), ("K", "3")}
+
+
+def test_predicates_of_policies(spark):
+    decision = '{"reason":"measurement_host_not_idle","fresh":true,"baseline":{"basis":"unmeasured","exceeds":true}}'
+    rows = [("adaptive_cpu_refused", decision, True), ("other", decision, False), ("adaptive_cpu_refused", decision.replace("true,", "false,", 1), False), ("adaptive_cpu_refused", None, False), ("adaptive_cpu_refused", "[]", False), (None, decision, False)]
+    df = spark.createDataFrame(rows, "s string, d string, want boolean")
+    assert df.where(~P.unmeasured_refusal(F.col("s"), F.col("d")).eqNullSafe(F.col("want"))).count() == 0
+    df = spark.createDataFrame([(False, 3, True, True), (True, 3, True, False), (False, 0, True, False), (False, None, True, False), (False, 3, False, False), (False, 3, None, False)], "g boolean, n int, p boolean, want boolean")
+    assert df.where(P.replenish_ok(F.col("g"), F.col("n"), F.col("p")) != F.col("want")).count() == 0
+    df = spark.createDataFrame([("k", "withdrawn", 1.0, True), (None, "withdrawn", 1.0, False), ("k", "failed", 1.0, False), ("k", None, 1.0, False), ("k", "withdrawn", None, False)], "b string, s string, g double, want boolean")
+    assert df.where(P.preempted(F.col("b"), F.col("s"), F.col("g")) != F.col("want")).count() == 0
+    df = spark.createDataFrame([(["/usr/bin/python3", "/x/worker.py"], True), (["worker.py/"], True), (["my-worker.py"], False), ([], False), (None, False)], "a array<string>, want boolean")
+    assert df.where(P.runs_any(F.col("a"), ["worker.py", "move.py"]) != F.col("want")).count() == 0
+    gib = 1 << 30
+    df = spark.createDataFrame([(100 * gib, 200 * gib, 1.0, 0.1, 50 * gib, True), (100 * gib, 200 * gib, 1.0, 0.25, 50 * gib, False), (90 * gib, 200 * gib, 1.0, 0.1, 50 * gib, False), (None, 200 * gib, 1.0, 0.1, 1, False)], "f long, t long, a double, r double, w long, want boolean")
+    assert df.where(P.write_space(*[F.col(c) for c in "ftarw"]) != F.col("want")).count() == 0
+    df = spark.createDataFrame([(None, None, True, None, 0, False), ("x", None, False, None, 0, True), ("x", ["gpu"], False, None, 0, False), ("x", ["gpu"], True, None, 0, True), ("x", None, True, 5, 5, False), ("x", None, True, 4, 5, True)], "w string, k array<string>, t boolean, r int, p int, want boolean")
+    assert df.where(P.held_back(*[F.col(c) for c in "wktrp"]) != F.col("want")).count() == 0
+
+
+def test_drain_verdicts(spark):
+    q = "key string, mode string, need map<string,int>, available map<string,int>, passes int, first_unix double, foreign_unix double, epoch_unix double, expired_unix double, now double"
+    base = ("tokens", {"cpu": 4}, {"cpu": 1}, 5, 900.0, None, None, None, 1000.0)
+    rows = {
+        "drains": (*base,), "early": (*base[:3], 1, *base[4:]), "foreign": (*base[:5], 950.0, *base[6:]), "short": (*base,), "lasting": (*base,), "alone": (*base,), "old": (*base[:4], 0.0, *base[5:]),
+        "exclusive": ("exclusive", *base[1:]), "unknown": (*base,), "stale": (*base[:4], 0.0, *base[5:]), "refilled": (*base[:6], 100.0, None, 1000.0), "expired": (*base[:6], 100.0, 800.0, 1000.0), "anew": (*base[:6], 100.0, 150.0, 1000.0),
+    }
+    holders = [
+        ("drains", "a", "transient", 50.0, {"cpu": 3}), ("early", "a", "transient", 50.0, {"cpu": 3}), ("foreign", "a", "transient", 50.0, {"cpu": 3}), ("short", "a", "transient", 50.0, {"cpu": 2}), ("lasting", "a", "lasting", 50.0, {"cpu": 3}),
+        ("exclusive", "a", "lasting", 50.0, {"cpu": 9}), ("exclusive", "b", "transient", 50.0, {"cpu": 9}), ("unknown", "a", "unknown", 50.0, {"cpu": 3}), ("stale", "a", "unknown", 50.0, {"cpu": 3}),
+        ("refilled", "a", "transient", 200.0, {"cpu": 3}), ("expired", "a", "transient", 200.0, {"cpu": 3}), ("anew", "a", "transient", 200.0, {"cpu": 3}),
+    ]
+    df = W.drain_verdicts(spark.createDataFrame([(k, *v) for k, v in rows.items()], q), spark.createDataFrame(holders, "key string, holder string, bound string, claimed_unix double, counts map<string,int>"), 300.0)
+    got = {r.key: r for r in df.collect()}
+    why = {k: r.why for k, r in got.items()}
+    assert why == {
+        "drains": "drains_soon", "early": "not_starved", "foreign": "foreign_load", "short": "holders_cannot_cover", "lasting": "holder_does_not_drain_soon", "alone": "in_flight", "old": "unknown_past_ceiling", "exclusive": "holder_does_not_drain_soon",
+        "unknown": "drains_soon", "stale": "unknown_past_ceiling", "refilled": "refilled_past_ceiling", "expired": "refilled_past_ceiling", "anew": "drains_soon",
+    }
+    assert {k for k, r in got.items() if r.withhold} == {"drains", "alone", "unknown", "anew"}
+    assert (got["drains"].epoch, got["refilled"].expired, got["expired"].expired, got["anew"].epoch, got["anew"].expired) == (1000.0, 1000.0, 800.0, 1000.0, None)
+
+
+def test_deadlines_and_coalescing(spark):
+    rows = [("a", 1, [5.0, 20.0]), ("a", 2, [7.0, 30.0]), ("b", 1, [50.0]), ("c", 1, []), ("d", 1, None)]
+    due, ahead = W.due_deadlines(spark.createDataFrame(rows, "k string, seq int, d array<double>"), ["k"], ["seq"], "d", F.lit(10.0))
+    assert [(r.k, r.ahead) for r in due.collect()] == [("a", [30.0])] and ahead.first()[0] == 30.0
+    events = [("changed", 1.0), ("changed", 2.0), ("failed", 3.0), ("failed", 4.0), *[("failed", 5.0 + i) for i in range(6)], ("changed", 20.0), ("failed", 21.0), ("completed", 22.0), ("changed", 23.0)]
+    got = W.coalesced_runs(spark.createDataFrame([("k", *e) for e in events], "key string, kind string, at double"), ["key"], "at").orderBy("at").collect()
+    assert [round(r.retry_at - r.at, 3) for r in got if r.kind == "failed"] == [0.25, 0.5, 1.0, 2.0, 4.0, 5.0, 5.0, 5.0, 0.25]
+    assert [(r.at, r.coalesced) for r in got if r.kind == "changed"] == [(1.0, False), (2.0, True), (20.0, True), (23.0, False)] and [r.at for r in got if r.state == "clean"] == [22.0]
