@@ -39,14 +39,16 @@ def attributed_deltas(spark, sf_dir):
 
 
 @R.query("""
-SELECT CASE WHEN n < c THEN 'a' ELSE 'b' END AS half, count(*) AS n FROM (SELECT n_nationkey AS n, c_nationkey AS c FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE c_acctbal > 0) GROUP BY 1
+WITH b AS (SELECT c_custkey AS pid, CASE WHEN c_custkey % 10 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS started, c_acctbal - c_custkey % 3 AS cpu FROM customer WHERE c_custkey % 4 > 0)
+SELECT c_nationkey AS nation, count(*) AS n, count(*) FILTER (WHERE c_acctbal - cpu > 0) AS grown FROM customer JOIN b ON pid = c_custkey AND started = c_nationkey GROUP BY 1
 """)
 def identity_bracket(spark, sf_dir):
-    c, n = load(spark, sf_dir, "customer"), load(spark, sf_dir, "nation")
-    before = n.select(F.col("n_nationkey").alias("k"), F.col("n_nationkey").alias("who"))
-    after = c.where("c_acctbal > 0").select(F.col("c_nationkey").alias("k"), F.col("c_nationkey").alias("who"))
-    joined = J.identity_join(before, after, "k", ["who"])
-    return joined.groupBy(F.when(F.col("was.k") < F.col("k"), "a").otherwise("b").alias("half")).agg(F.count(F.lit(1)).alias("n"))
+    """Processes (customers) that are in both snapshots with one start: a quarter is missing before, a tenth had another start under the same number."""
+    c = load(spark, sf_dir, "customer")
+    before = c.where("c_custkey % 4 > 0").select(F.col("c_custkey").alias("pid"), F.when(F.col("c_custkey") % 10 == 0, F.col("c_nationkey") + 100).otherwise(F.col("c_nationkey")).alias("started"), (F.col("c_acctbal") - F.col("c_custkey") % 3).alias("cpu"))
+    after = c.select(F.col("c_custkey").alias("pid"), F.col("c_nationkey").alias("started"), F.col("c_acctbal").alias("cpu"))
+    joined = J.identity_join(before, after, "pid", ["started"])
+    return joined.groupBy(F.col("started").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cpu") - F.col("was.cpu") > 0).alias("grown"))
 
 
 @R.query("""
