@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed_join, text_or_empty, written
@@ -35,25 +35,38 @@ def source_rates(sized: DataFrame, weights: Sequence[float] = WEIGHTS, max_rate:
 
     Sources in order of code points, null last, get the weights in turn. The targets share the whole
     size by weight; one that would exceed max_rate times its source's size stops there and its excess
-    is reshared by weight among the rest. With sources in order of cap over weight, the capped ones form
-    a prefix, so one ordered pass finds the level of the others. A source of size 0 has target and rate 0.
-    The ordered pass runs over the aggregate of one short row per source, not over documents.
+    is reshared by weight among the rest. A source of size 0 has target and rate 0.
+
+    Sources may be as many as domains: they are sorted by range, a source's number is its place in its range behind the
+    rows of the ranges before, and the level of the uncapped ones is found by sums: it starts as if none were
+    capped and rises with each round that finds more below it. The driver sees a count per range and sums.
     """
+    spark = sized.sparkSession
     per = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    key = [F.col("source").isNull(), F.coalesce("source", F.lit(""))]
+    per = per.repartitionByRange(*key).sortWithinPartitions(*key)
+    per = written(per.withColumn("_id", F.monotonically_increasing_id()), "sources")
+    place = (1 << 33) - 1  # the rows of a range are numbered in the low 33 bits, ranges above
+    before, offsets = 0, []
+    for r in per.groupBy(F.shiftright("_id", 33).alias("range")).count().orderBy("range").collect():
+        offsets.append((r["range"], before))
+        before += r["count"]
+    offsets = spark.createDataFrame(offsets, "range long, before long")
     steps = F.array(*[F.lit(float(w)) for w in weights])
-    per = per.withColumn("_rn", F.row_number().over(order)).withColumn("weight", F.element_at(steps, (F.col("_rn") - 1) % len(weights) + 1))
+    per = per.withColumn("range", F.shiftright("_id", 33)).join(F.broadcast(offsets), "range")
+    per = per.withColumn("weight", F.element_at(steps, ((F.col("before") + F.col("_id").bitwiseAND(place)) % len(weights) + 1).cast("int")))
     per = per.withColumn("_cap", F.lit(float(max_rate)) * F.col("source_size")).withColumn("_ratio", F.col("_cap") / F.col("weight"))
-    whole = Window.orderBy("_ratio", "_rn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy("_ratio", "_rn").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0.0)
-    per = per.withColumn(
-        "_level",
-        (F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(before), zero)) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), zero)),
-    )
-    fits = F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "_rn", "_level"))
-    per = per.withColumn("_level", F.coalesce(F.min(fits).over(whole)["_level"], zero))
-    target = F.least(F.col("weight") * F.col("_level"), F.col("_cap"))
+    total = float(per.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+    level, capped = None, -1
+    while True:
+        below = F.lit(False) if level is None else F.col("_ratio") < level
+        n, caps, open_ = per.agg(F.count_if(below), F.coalesce(F.sum(F.when(below, F.col("_cap"))), zero), F.coalesce(F.sum(F.when(~below, F.col("weight"))), zero)).first()
+        if n == capped or not open_:
+            break
+        level, capped = (total - caps) / open_, n
+    level = F.lit(float(level or 0.0))
+    target = F.least(F.col("weight") * level, F.col("_cap"))
     rate = F.when(F.col("source_size") > 0, F.least(target / F.col("source_size"), F.lit(float(max_rate)))).otherwise(zero)
     return per.select("source", "n_docs", "source_size", "weight", target.alias("target"), rate.alias("rate"))
 

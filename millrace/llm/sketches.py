@@ -18,6 +18,8 @@ from .tokens import SPACE, Hasher, chunks, strings, window_hashes, words
 
 K = 128
 SHINGLE = 5
+#: Bytes of the input, as the optimizer estimates them, for a block of consecutive documents, and the most blocks.
+BLOCK_BYTES, MAX_BLOCKS = 64 << 20, 100_000
 
 
 def merged(*sketches: np.ndarray, k: int = K) -> np.ndarray:
@@ -97,10 +99,12 @@ def in_order(docs: DataFrame) -> DataFrame:
 
     Behind each partition's rows stands, with tail set, a copy of the first row of the next (behind the last, of the
     first), so every row can see its successor. Bounds are approximate quantiles of doc_id, as many as shuffle
-    partitions; a row finds its block by bisection. The texts are shuffled once.
+    partitions, or more for BLOCK_BYTES of input each; a row finds its block by bisection. The texts are shuffled once.
     """
     spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = 0 if size >= 1 << 60 else size  # unknown
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_BLOCKS, size // BLOCK_BYTES))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0]
     bounds = sorted(set(bounds or [0]))

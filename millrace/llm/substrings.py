@@ -19,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import SPACE, Hasher, chunks, mixed, normalised, window_hashes, words
@@ -259,15 +259,21 @@ def _kept(text: pa.Array, starts: pa.Array, window: int):
             yield int(b - a), int(gone[b] - gone[a]), joined[place[a] : max(place[a], place[b] - 1)]
 
 
+def _id_of(text: Column) -> Column:
+    """The doc_id; a row without one is a document by its text, before all that have one."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(_id_of(text).alias("id"), "doc_id", text.alias("text"))
 
 
 def removal_report(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CELLS) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256.
 
     Words are split at white space and compared unchanged. Null text: no words. A text of fewer words than a window
-    loses none. Null doc_ids are one document before all others. Rows with one doc_id are one document in several
+    loses none. Rows without a doc_id are documents by their texts, before all others (doc_ids below -2**62 are not expected). Rows with one doc_id are one document in several
     copies: a window at one place of it is no repeat of itself, and all the rows lose the same places. Empty input:
     no rows. Other columns of docs are ignored.
     """
@@ -297,7 +303,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CEL
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(texts, pa.string())], ["row", "kept"])
 
     packed = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    packed = packed.select("row", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    packed = packed.select("row", _id_of(text).alias("id"), text.alias("text"))
     rows = _with_starts(packed, window, max_cells).select("text", "starts", "row")
     out = rows.mapInArrow(cut, f"row {rows.schema['row'].dataType.simpleString()}, kept string")
     return out.select(*[(F.coalesce("kept", F.col("row").getField(c)) if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+#: Bytes from which a word is hashed by XXH64.
+LONG_WORD = 256
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_LIMIT = (1 << 64) - 1
@@ -96,9 +98,13 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
 
 
 class Hasher:
-    """64-bit hashes of words, from running sums of byte codes times powers of an odd base modulo 2**64."""
+    """64-bit hashes of words, from running sums of byte codes times powers of an odd base modulo 2**64.
+
+    Such sums have collisions that can be written down, but only among words of about a thousand bytes; words of LONG_WORD bytes or more get XXH64 instead.
+    """
 
     def __init__(self, lower: bool = False, base: int = _BASE):
+        self.lower = lower
         self.codes, self.base, self.inverse = _byte_codes(lower), base, pow(base, -1, 1 << 64)
         self.powers = self.inverses = np.zeros(0, np.uint64)
 
@@ -114,7 +120,12 @@ class Hasher:
         self._grown(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.codes[data] * self.powers[: len(data)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+        out = mixed((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+        long_ = np.flatnonzero(ends - starts >= LONG_WORD)
+        if len(long_):
+            raw = (LOWER_BYTES[data] if self.lower else data).tobytes()
+            out[long_] = xxh64(raw, starts[long_], ends[long_], self.base & 0xFFFFFFFF)
+        return out
 
 
 def window_hashes(h: np.ndarray, per: np.ndarray, size: int, base: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:

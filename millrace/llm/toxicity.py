@@ -83,7 +83,7 @@ def fit(text: np.ndarray, feature: np.ndarray, label: np.ndarray, n_features: in
     rng = np.random.default_rng(seed)
     n = len(label)
     epochs = epochs or max(10, -(-STEPS * batch // max(1, n)))
-    prior = (label.sum() + 0.5) / (n + 1)
+    prior = (label.sum() + 0.5) / (n + 2)  # without labels, below one half
     bias = float(np.log(prior / (1 - prior)))
     weights, vectors = np.zeros(n_features), rng.normal(0, 0.01, (n_features, FACTORS))
     seen_w, seen_v = np.full(n_features, 1e-8), np.full((n_features, FACTORS), 1e-8)
@@ -227,7 +227,7 @@ def fold(doc_id):
 def toxicity_report(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted. Labels of held-out rows (fold 0) are never read.
 
-    Repeated rows: each scored, alike. Empty docs: no rows. No labels, or of one kind: every score is the labels' base
+    Repeated rows: each scored, alike. Empty docs: no rows. No labels, or of one kind: every score is the labels' smoothed base
     rate. Only text enters a score. Other columns are ignored.
     """
     machine = train(docs, labels.where(fold(F.col("doc_id")) != 0), max_train)

@@ -195,6 +195,8 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
     """A record per row of pages(page_id, url, html) into gzip archives under path, by Spark's writer: a folder any executor can reach.
 
     Each record is a line of the text sink with the format's blank lines as separator. Long payloads are cut into segments.
+    Null html: the empty payload. Null url: about:blank. Null page_id, and rows that share one: records with identifiers of their own. Very long
+    texts: as many segments as they take. Empty pages: archives without records. Other columns are ignored.
     """
 
     def run(batches):
@@ -221,12 +223,14 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
     framed.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of the archives under path, whole again: record_id, record_type, uri, refers_to, digest, payload_bytes, payload, valid, error.
 
     Records in one piece are judged where they are read; only segments are shuffled, by origin identifier. A response is
     valid if its segments are complete, its framing is sound and its payload has the digest of its header. A
-    revisit has no payload; its length and digest are those its header states.
+    revisit has no payload; its length and digest are those its header states. Archives may be plain or gzip of one or many members. A repeated segment counts
+    once; a missing, differing or overlong one makes its record invalid, with the reason as error; an archive that is cut short or has no records' form fails the read. No records: no rows.
+    Each archive is read once, into a table of its records; payloads=False leaves the payload out of it where it is not wanted.
     """
     schema = "record_id string, record_type string, uri string, refers_to string, digest string, payload_bytes long, payload binary, error string"
     partial = "origin string, number int, total long, block binary"
@@ -243,7 +247,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             payload = http_payload(block)
             if digest and payload_digest(payload) != digest:
                 raise ValueError("the payload does not have its digest")
-            return *common, payload_digest(payload), len(payload), payload, None
+            return *common, payload_digest(payload), len(payload), payload if payloads else None, None
         except ValueError as e:
             return *common, digest, None, None, str(e)
 
@@ -289,7 +293,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             yield batch(rows, schema)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    found = files.mapInArrow(scan, f"{schema}, {partial}, header string")
+    found = written(files.mapInArrow(scan, f"{schema}, {partial}, header string"), "records")
     whole = found.where("origin IS NULL").select(*[c.split()[0] for c in schema.split(", ")])
     segments = found.where("origin IS NOT NULL").groupBy("origin").agg(F.collect_list(F.struct("number", "total", "block", "header")).alias("segments"))
     return whole.unionByName(segments.mapInArrow(join, schema)).withColumn("valid", F.col("error").isNull())
@@ -308,6 +312,6 @@ def archive_report(pages: DataFrame, path: str | None = None) -> DataFrame:
     if pages.limit(1).count() == 0:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, valid boolean")
     page = lambda name: F.expr(f"try_cast(regexp_extract({name}, '<{URN}:(-?[0-9]+)', 1) AS BIGINT)")
-    return read_archives(spark, path).select(
+    return read_archives(spark, path, payloads=False).select(
         page("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"), "valid"
     )

@@ -173,6 +173,30 @@ def test_records_parse_in_any_pieces():
         list(warc.parsed(iter([whole[:-200]])))
 
 
+def test_damaged_and_member_wise_archives(spark, tmp_path):
+    """Archives of one gzip member per record read alike; damage to a record or a segment is told, and a cut archive fails."""
+    import gzip
+
+    payloads = {1: b"one", 2: b"two" * 30_000, 3: "drei é".encode() * 9000, 4: b""}
+    found = {k: list(warc.records(k, f"http://h/{k}", v, None)) for k, v in payloads.items()}
+    whole = b"".join(gzip.compress(r + b"\r\n\r\n") for rs in found.values() for r in rs)
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good" / "a.warc.gz").write_bytes(whole)
+    got = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path / "good")).collect()}
+    assert {k: bytes(got[warc.record_id(k)].payload) for k in payloads} == payloads and all(r.valid for r in got.values())
+    assert all(r.payload is None and r.valid for r in warc.read_archives(spark, str(tmp_path / "good"), payloads=False).collect())
+    bad = [found[1][0].replace(b"one", b"eno"), *found[2][:-1], *found[3][1:], *found[4], *found[4]]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in bad))
+    rows = warc.read_archives(spark, str(tmp_path / "bad")).collect()
+    assert {(r.record_id, r.valid) for r in rows} == {(warc.record_id(1), False), (warc.record_id(2), False), (warc.record_id(3), False), (warc.record_id(4), True)} and len(rows) == 5
+    assert all(r.error for r in rows if not r.valid)
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.warc.gz").write_bytes(whole[:-30])
+    with pytest.raises(Exception, match="cut short"):
+        warc.read_archives(spark, str(tmp_path / "cut")).collect()
+
+
 def toxic_docs(n=900, seed=3):
     rng = random.Random(seed)
     rows = []
@@ -294,6 +318,67 @@ def test_pipeline(spark, tmp_path):
     assert total.columns == columns and total.count() == docs.count()
 
 
+def test_pipeline_on_awkward_documents(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, one doc_id with several texts, clashing columns: against a brute force of all stages but the learnt one. Empty tables pass through."""
+    import re
+
+    import corpus_pipeline
+    from millrace.llm import mixing, secrets
+
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(50_000)}" for _ in range(n))
+    base, passage = text(150), text(12)
+    near = base.split()
+    near[70] = "other"
+    key = "Zm9vYmFyYmF6MTIzNDU2Nzg5MDEyMzQ1"
+    rows = [(1, base, "en", "a"), (2, " ".join(near), None, "b"), (3, base.upper(), "en", None), (4, None, None, None), (5, "", "en", "a"), (6, text(30_000), "en", "b"), (7, f"x {passage} y", "en", "a"), (8, text(40), "en", "a"), (8, text(40), "en", "b")]
+    rows += [(9, f"password = hunter2hunter2 {text(30)}", "en", "b")] * 2 + [(None, text(50), "en", None), (None, f"{key} {text(20)}", "en", "c"), (10, f"{text(20)} {key[::-1]}", None, "a"), (11, f"{text(20)} {key[::-1]}", None, "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_key string, unit int, fold int"
+    table = [(*r, None if r[1] is None else len(r[1]), "x", 1, None) for r in rows]
+    spark.createDataFrame(table, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    grams = lambda t: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set()
+    left = sorted({r[:2] for r in rows if r[0] is not None}, key=lambda r: (r[0], r[1] or ""))
+    kept = []
+    for i, t in left:
+        if not any(len(grams(t) & grams(u)) >= 0.8 * len(grams(t) | grams(u)) for _, u in kept):
+            kept.append((i, t))
+    kept += [r[:2] for r in rows if r[0] is None]
+    kept = [(i, t) for i, t in kept if passage not in (t or "")]
+    masked = [(i, t and re.sub(r"password = \S+", "[secret]", t).replace(key, "[secret]")) for i, t in kept]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr) == sorted(masked, key=repr)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in docs.collect())
+    expected = sorted(((r.doc_id, r.text) for r in mixing.mix(docs).collect()), key=repr)
+    total = corpus_pipeline.run(spark, str(tmp_path))
+    assert total.columns == docs.columns and sorted(((r.doc_id, r.text) for r in total.collect()), key=repr) == expected
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    assert secrets.LIVE_REPOSITORIES >= 2
+
+
+def test_temporary_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from millrace.llm.common import temporary_tables, written
+
+    with temporary_tables(spark) as outer:
+        with temporary_tables(spark) as inner:
+            written(spark.range(3), "a")
+            kept = written(spark.range(4), "b", keep=True)
+            gone, stays = inner[0], outer[0]
+        strip = lambda p: p.removeprefix("file:")
+        assert not os.path.exists(strip(gone)) and os.path.exists(strip(stays)) and kept.count() == 4
+    assert not os.path.exists(strip(stays))
+
+
 def test_near_copies_at_the_similarity_go(spark):
     """Families of copies with words changed here and there, against all pairs of five-word shingle sets."""
     rng = random.Random(12)

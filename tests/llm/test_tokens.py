@@ -56,3 +56,18 @@ def test_normalised_keeps_marked_words():
     assert joined == b"a bb ccc d e " and at.tolist() == [0, 2, 5, 9, 11, 13]
     joined, at = T.normalised(data, starts, ends, np.array([True, False, True, False, True]))
     assert joined == b"a ccc e " and at.tolist() == [0, 2, 2, 6, 6, 8]
+
+
+def test_words_that_collide_modulo_a_power_of_two():
+    """Two words of the Thue-Morse sequence and its complement have equal polynomial hashes for every base; XXH64 tells them apart."""
+    import numpy as np
+
+    from millrace.llm.tokens import SPACE, Hasher, words
+
+    bits = [bin(k).count("1") & 1 for k in range(2048)]
+    text = ("".join("ab"[b] for b in bits) + " " + "".join("ba"[b] for b in bits) + " " + "".join("AB"[b] for b in bits)).encode()
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, _ = words(data, np.array([0, len(data)]), SPACE)
+    for lower in (False, True):
+        h = Hasher(lower)(data, starts, ends)
+        assert h[0] != h[1] and (h[0] == h[2]) == lower
