@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from ..functions import predicates as P
 from ..functions import scalars as C
 from ..operators import aggregates as A
 from ..operators import joins as J
@@ -76,6 +77,41 @@ def chart_window(spark, sf_dir):
     return series.chart_totals(chart, idle=("view",))
 
 
+@R.query("SELECT user_id % 5 AS host, CAST(hour(ts) AS DOUBLE) AS time, event_type AS dimension, CAST(count(*) AS DOUBLE) AS value FROM events WHERE hour(ts) BETWEEN 3 AND 20 GROUP BY ALL")
+def chart_files(spark, sf_dir):
+    """Chart documents of five hosts, written a file each and read back between two times."""
+    path = scratch(spark, "charts")
+    e = load(spark, sf_dir, "events")
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # a few types
+    per = e.groupBy((F.col("user_id") % 5).alias("host"), F.hour("ts").cast("double").alias("t")).agg(*[F.count_if(F.col("event_type") == k).cast("double").alias(k) for k in kinds])
+    docs = per.groupBy("host").agg(F.to_json(F.struct(F.lit(["time", *kinds]).alias("labels"), F.collect_list(F.array("t", *kinds)).alias("data"))).alias("value"))
+    docs.write.partitionBy("host").text(path)
+    found = series.charts(spark, path, 3.0, 20.0)
+    return found.where("value > 0").select(F.regexp_extract("file", r"host=(\d+)", 1).cast("long").alias("host"), "time", "dimension", "value")
+
+
+@R.query("""
+SELECT s_nationkey AS worker, sum(CASE WHEN s_suppkey % 7 = 0 THEN 10 * s_suppkey + 5 ELSE 5 END) AS ticks, count(*) AS processes, count(*) FILTER (WHERE s_suppkey % 2 = 0) AS loops FROM supplier GROUP BY 1
+""")
+def process_deltas(spark, sf_dir):
+    """CPU ticks of workers' processes between two captures of their stat files: a process under a used number (every seventh) counts whole, others by their growth; and those that run a loop."""
+    s = load(spark, sf_dir, "supplier")
+    stat = lambda started, ticks: F.format_string("%d (my (odd) name) S %d 1 1 0 -1 0 0 0 0 0 %d 0 0 0 20 0 1 0 %d 1000 77 0\n", "s_suppkey", "s_nationkey", ticks, started)
+    k = F.col("s_suppkey")
+    capture = lambda line: logs.process_stats(s.select(F.concat(F.lit("/proc/"), k, F.lit("/stat")).alias("path"), line.alias("text")))
+    before, after = capture(stat(k * 100, k * 10)), capture(stat(F.when(k % 7 == 0, k * 100 + 1).otherwise(k * 100), k * 10 + 5))
+    grown = _process_growth(before, after)
+    argv = logs.process_arguments(s.select(F.concat(F.lit("/proc/"), k, F.lit("/cmdline")).alias("path"), F.concat(F.lit("/usr/bin/python3\0/opt/"), F.when(k % 2 == 0, "loop.py").otherwise("other.py"), F.lit("\0")).alias("text")))
+    loops = argv.where(P.runs_any(F.col("argv"), ["loop.py"])).join(after.select("pid", "parent"), "pid").groupBy(F.col("parent").alias("worker")).agg(F.count(F.lit(1)).alias("loops"))
+    return grown.join(loops, "worker", "left").select("worker", "ticks", "processes", F.coalesce("loops", F.lit(0)).alias("loops"))
+
+
+def _process_growth(before, after):
+    same = J.identity_join(before, after, "pid", ["started"]).select("pid", (F.col("cpu_ticks") - F.col("was.cpu_ticks")).alias("growth"))
+    rows = after.join(same, "pid", "left").withColumn("growth", F.coalesce("growth", "cpu_ticks"))
+    return rows.groupBy(F.col("parent").alias("worker")).agg(F.sum("growth").alias("ticks"), F.count(F.lit(1)).alias("processes"))
+
+
 @R.query("SELECT o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77 AND epoch_us(o_orderdate) = (SELECT epoch_us(o_orderdate) FROM orders WHERE o_orderkey = 77)")
 def point_record(spark, sf_dir):
     """The record of a key and generation; both predicates reach the scan."""

@@ -47,6 +47,26 @@ def mounts(lines: DataFrame) -> DataFrame:
     )
 
 
+def process_stats(files: DataFrame) -> DataFrame:
+    """Captured stat files of processes, files(path, text), as pid, name, state, parent, cpu_ticks, started, resident_pages; what is no such file is dropped.
+
+    The name stands in parentheses and may hold spaces and parentheses itself, so fields are counted from the last one.
+    """
+    rest = F.split(F.regexp_extract("text", r"(?s)^.*\) (.*)$", 1), r"\s+")
+    field = lambda n: F.get(rest, F.lit(n - 3)).try_cast("long")  # noqa: E731  as numbered in the manual, from 1
+    rows = files.select(
+        F.regexp_extract("text", r"^(\d+) \(", 1).try_cast("long").alias("pid"), F.regexp_extract("text", r"(?s)^\d+ \((.*)\) ", 1).alias("name"), F.get(rest, F.lit(0)).alias("state"),
+        field(4).alias("parent"), (field(14) + field(15)).alias("cpu_ticks"), field(22).alias("started"), field(24).alias("resident_pages"),
+    )
+    return rows.where("pid IS NOT NULL AND started IS NOT NULL")
+
+
+def process_arguments(files: DataFrame) -> DataFrame:
+    """Captured command lines of processes, files(path, text) with the pid in the path, as pid and argv."""
+    argv = F.split(F.rtrim("text", F.lit("\0")), "\0")
+    return files.where("text <> ''").select(F.regexp_extract("path", r"/(\d+)/cmdline$", 1).try_cast("long").alias("pid"), argv.alias("argv")).where("pid IS NOT NULL")
+
+
 def junit(spark: SparkSession, path: str) -> DataFrame:
     """Test cases of JUnit reports: file, node, seconds, outcome (passed, failed, error or skipped)."""
     schema = "_file string, _classname string, _name string, _time double, failure string, error string, skipped string"

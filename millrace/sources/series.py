@@ -72,6 +72,15 @@ class _ChartReader(DataSourceReader):
                     yield (float(row[0]), name, None if value is None else float(value))
 
 
+def charts(spark: SparkSession, path: str, after: float, before: float) -> DataFrame:
+    """Chart documents {labels, data} of the JSON files under path, many at a time: file, time, dimension, value of the rows from after to before."""
+    document = F.from_json("value", "labels array<string>, data array<array<double>>")
+    docs = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), document.alias("d"))
+    rows = docs.select("file", "d.labels", F.explode("d.data").alias("row")).withColumn("time", F.get("row", F.lit(0))).where(F.col("time").between(after, before))
+    cells = F.slice(F.arrays_zip(F.col("labels").alias("dimension"), F.col("row").alias("value")), 2, F.size("labels") - 1)
+    return rows.select("file", "time", F.inline(cells))
+
+
 def chart_totals(samples: DataFrame, idle: Sequence[str] = ("idle", "iowait")) -> DataFrame:
     """Mean and peak over time of the sum of the dimensions that are not idle; times with a missing dimension are left out."""
     busy = samples.where(~F.col("dimension").isin(*idle))
