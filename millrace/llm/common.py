@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,13 @@ def written(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def literal_rows(spark: SparkSession, rows: Sequence[Sequence], columns: str) -> DataFrame:
+    """A few rows as a table whose columns are "name type, ...": a literal in the plan, with no Python on executors."""
+    names = [c.split()[0] for c in columns.split(", ")]
+    kind = "array<struct<" + ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in columns.split(", ")) + ">>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), kind)))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import literal_rows, text_or_empty, written
 
 #: Fixed values of the scan: phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -127,7 +127,7 @@ def template_blocks(texts: DataFrame, order: Sequence[str], prepared: list[tuple
     rank = {w: i for i, w in enumerate(order)}
     ordered = [sorted(rank[w] for w in words) for _, words, _, _ in prepared]
     prefixes = [(r, i, k, step, need, t, label) for k, ((label, _, need, step), t) in enumerate(zip(prepared, ordered)) for i, r in enumerate(t[: len(t) - need + 1])]
-    side = texts.sparkSession.createDataFrame(prefixes, "rank int, at int, template int, step int, need int, words array<int>, label string")
+    side = literal_rows(texts.sparkSession, prefixes, "rank int, at int, template int, step int, need int, words array<int>, label string")
     known, ranks = _literals(order), F.map_from_arrays(_literals(order), _literals(range(len(order))))
     rows = texts.select("row_key", F.split("joined", " ").alias("all"), F.explode("steps").alias("step"))
     last = F.greatest(F.lit(0), F.ceil((F.size("all") - 2 * F.col("step")) / F.col("step"))).cast("int")
@@ -170,7 +170,7 @@ def license_report(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEM
     if prepared:
         pairs = template_blocks(rows.where("size(steps) > 0"), word_order(rows, vocabulary), prepared)
     else:
-        pairs = docs.sparkSession.createDataFrame([], "row_key long, label string, containment double")
+        pairs = literal_rows(docs.sparkSession, [], "row_key long, label string, containment double")
     found = pairs.groupBy("row_key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
     out = rows.select("row_key", "doc_id", "n_words", "base").join(found, "row_key", "left")
     labels = F.expr("array_distinct(transform(base, b -> b.label))")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, text_or_empty, written
+from .common import keyed_join, literal_rows, text_or_empty, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -51,7 +51,7 @@ def source_rates(sized: DataFrame, weights: Sequence[float] = WEIGHTS, max_rate:
     for r in per.groupBy(F.shiftright("_id", 33).alias("range")).count().orderBy("range").collect():
         offsets.append((r["range"], before))
         before += r["count"]
-    offsets = spark.createDataFrame(offsets, "range long, before long")
+    offsets = literal_rows(spark, offsets, "range long, before long")
     steps = F.array(*[F.lit(float(w)) for w in weights])
     per = per.withColumn("range", F.shiftright("_id", 33)).join(F.broadcast(offsets), "range")
     per = per.withColumn("weight", F.element_at(steps, ((F.col("before") + F.col("_id").bitwiseAND(place)) % len(weights) + 1).cast("int")))

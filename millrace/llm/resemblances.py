@@ -30,8 +30,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Fingerprints of 64 bits a document, and the most bits in which the first, and all, of two near ones differ.
 PRINTS, NARROW, WIDE = 4, 20, 64
-#: Rounds of nearest pairs, at most.
-TURNS = 8
+#: Rounds of nearest pairs, at most, and the near pairs a node, on average, from which on all are compared.
+TURNS, NEAR_PAIRS = 8, 16
 #: Bits of an odd sketch.
 ODD = 1024
 #: Classes of set sizes differ by this factor.
@@ -209,7 +209,7 @@ def linked(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
         return None
     links, reached, turn, few, across = None, None, 0, False, None
     while True:
-        full = turn > 0 and (few or turn == TURNS or across <= 4 * rows)
+        full = turn > 0 and (few or turn == TURNS or across <= NEAR_PAIRS * rows)
         if full:
             pairs = written(compared(live, True, True, similarity, tile), "pairs")
         else:
@@ -226,7 +226,7 @@ def linked(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
             reached = components(links)
         if full:
             break
-        few = 100 * joined <= rows
+        few = 20 * joined <= rows
         live = live.drop("c").join(stars.select(F.col("x").alias("node")), "node", "left_semi")
         if reached is not None:
             live = live.join(reached, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
