@@ -93,8 +93,9 @@ def rounding_gib(tokens: Column, total_bytes: Column) -> Column:
 
 
 def remainder(peak: Column, owned: Column) -> Column:
-    """What is still to be had of a peak; negative inputs are an error."""
-    return F.when(F.assert_true((peak >= 0) & (owned >= 0), F.lit("a negative amount")).isNull(), F.greatest(F.lit(0), peak - owned))
+    """What is still to be had of a peak; negative inputs are an error, and unknown ones leave it unknown."""
+    checked = F.assert_true(F.coalesce((peak >= 0) & (owned >= 0), F.lit(True)), F.lit("a negative amount")).isNull()
+    return F.when(checked & peak.isNotNull() & owned.isNotNull(), F.greatest(F.lit(0), peak - owned))
 
 
 def external_bytes(total: Column, available: Column, resident: Column) -> Column:
