@@ -263,17 +263,8 @@ def dangling_holders(spark, sf_dir):
     return J.dangling(c.select(F.col("c_custkey").alias("key")), o.where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("key")).distinct(), complete=True)
 
 
-@R.query("""
-WITH c AS (SELECT o_custkey AS key, CASE WHEN bool_or(o_orderstatus = 'F') THEN 'failed' ELSE arg_max(o_orderstatus, o_orderkey) END AS v FROM orders GROUP BY 1) SELECT c_custkey AS key, coalesce(v, 'missing') AS verdict FROM customer LEFT JOIN c ON key = c_custkey
-""")
-def attempt_verdicts(spark, sf_dir):
-    c, o = load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders")
-    attempts = o.select(F.col("o_custkey").alias("key"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise(F.col("o_orderstatus")).alias("outcome"), F.col("o_orderkey").alias("attempt"))
-    return J.attempts_verdict(c.select(F.col("c_custkey").alias("key")), attempts)
-
-
 @R.query("SELECT kind, capacity, CAST(greatest(0, capacity - CASE WHEN held > capacity THEN 0 ELSE held END) AS BIGINT) AS available, CAST(CASE WHEN held > capacity THEN 0 ELSE held END AS BIGINT) AS held FROM (SELECT s_nationkey AS kind, count(*) AS capacity, s_nationkey % 4 AS held FROM supplier GROUP BY 1)")
-def ledger_take(spark, sf_dir):
+def token_figures(spark, sf_dir):
     """Tokens per kind after a holder takes what it needs of each kind that has enough, counted."""
     s = load(spark, sf_dir, "supplier")
     tokens = s.select(F.col("s_nationkey").alias("kind"), F.col("s_suppkey").alias("n"), F.lit(None).cast("string").alias("holder"))
@@ -405,16 +396,6 @@ def declared_units(spark, sf_dir):
     return W.elections(units, "host").select("host", F.col("group").alias("grp"), F.col("position").cast("long").alias("position"))
 
 
-@R.query("""
-SELECT p_brand AS target, count(*) AS n, bool_or(p_size % 50 = 0) AS ownerless FROM part GROUP BY 1 HAVING count(*) > 1 OR bool_or(p_size % 50 = 0)
-""")
-def exclusion_faults(spark, sf_dir):
-    p = load(spark, sf_dir, "part")
-    a = p.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("target"), F.when(F.col("p_size") % 50 == 0, " ").otherwise("x").alias("owner"))
-    b = p.where("p_partkey % 2 = 1").select(F.col("p_brand").alias("target"), F.when(F.col("p_size") % 50 == 0, None).otherwise("x").alias("owner"))
-    return sets.exclusion_faults(sets.exclusions(("a", a), ("b", b)))
-
-
 @R.query("SELECT DISTINCT p_type, p_size FROM part WHERE (p_type, p_size) NOT IN (SELECT p_type, p_size FROM part WHERE p_partkey % 2 = 0)")
 def subset_faults(spark, sf_dir):
     """What a list names beyond what is allowed: acknowledgements, fences and baselines alike."""

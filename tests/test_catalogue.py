@@ -47,5 +47,7 @@ def test_query(spark, duck, name):
 def test_entry_and_names(spark):
     import __spark_entry__ as e
 
+    assert len(catalogue.QUERIES) == sum(len(m.QUERIES) for m in catalogue.MODULES)  # no name twice
+
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
