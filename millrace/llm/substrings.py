@@ -10,27 +10,36 @@ whose anchor is estimated repeated, and no others, are grouped exactly (by ancho
 after each task has kept only the first place of each window it saw. A window seen once is not sent unless its
 anchor is repeated or the anchor's cells collide. Windows travel by anchor; those of an anchor estimated at HOT places
 or more, such as a line that stands in a third of all documents among other words each time, travel by their own hash.
+
+Where the anchors outgrow a sketch of MAX_CELLS a row, they are dealt by hash into passes, each with a sketch of its own:
+the texts are counted once for all passes and searched once for each, so a sketch's load stays the same. All windows of
+an anchor are in its pass. Beyond MAX_PASSES the load grows and more windows pass the filter.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import temporary_tables, written
 from .tokens import SPACE, Hasher, chunks, mixed, normalised, window_hashes, words
 
 WINDOW = 20
 #: Words of an anchor; a window of 20 words holds 13 of them, and about one word in seven begins an anchor.
 ANCHOR = 8
 DEPTH = 2
-#: Cells of a sketch row merged by one task, and the most cells of a row. A row has about two cells per expected anchor up to that; beyond, more windows pass.
+#: Cells of a sketch row merged by one task, and the most cells of a row. A row has two to four cells per expected anchor of its pass.
 RANGE_CELLS = 1 << 21
 MAX_CELLS = 1 << 28
+#: Passes at most, as each searches all texts anew.
+MAX_PASSES = 16
 SHARD_BYTES = 2 << 20
 #: Places of an anchor from which its windows are spread.
 HOT = 1_000
@@ -60,8 +69,16 @@ def anchors(h: np.ndarray, per: np.ndarray, window: int) -> tuple[np.ndarray, np
     return starts, best[starts], shingle
 
 
-def sketch_width(n_windows: int, max_cells: int = MAX_CELLS) -> int:
-    return 1 << min(max_cells.bit_length() - 1, max(16, (max(1, n_windows) * 2 // 7).bit_length()))
+def sketch_size(n_windows: int, max_cells: int = MAX_CELLS, max_passes: int = MAX_PASSES) -> tuple[int, int]:
+    """(passes, cells of a row of each pass's sketch) for so many windows, of which about one in seven has an anchor of its own."""
+    wanted = max(1, n_windows) * 2 // 7
+    passes = min(max_passes, max(1, -(-wanted // max_cells)))
+    return passes, 1 << min(max_cells.bit_length() - 1, max(16, (wanted // passes).bit_length()))
+
+
+def pass_of(anchor: np.ndarray, passes: int) -> np.ndarray:
+    """The pass of each anchor hash, independent of its cells."""
+    return (mixed(anchor) % np.uint64(passes)).astype(np.int64)
 
 
 def _texts(batch: pa.RecordBatch, hasher: Hasher):
@@ -70,11 +87,11 @@ def _texts(batch: pa.RecordBatch, hasher: Hasher):
         yield lo, hi, data, starts, ends, per, hasher(data, starts, ends)
 
 
-def repeated_cells(docs: DataFrame, width: int, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The merged sketch of all anchors of docs(text): per row a bitmap of the cells that hold two places or more, and one of those with HOT or more.
+def repeated_cells(docs: DataFrame, width: int, window: int = WINDOW, passes: int = 1) -> DataFrame:
+    """(pass, row, range, bits, hot): the merged sketches of all anchors of docs(text), bitmaps of the cells that hold two places or more, and of those with HOT or more.
 
-    A partition sends, per range of cells, those it counted once, and those it counted more with their numbers, packed;
-    a task merges one range. The driver gets width/4 bytes a row, which MAX_CELLS bounds.
+    A partition sends, per pass and range of cells, those it counted once, and those it counted more with their numbers,
+    packed; a task merges one range.
     """
     span = min(RANGE_CELLS, width)
 
@@ -83,15 +100,16 @@ def repeated_cells(docs: DataFrame, width: int, window: int = WINDOW) -> list[tu
 
         def flush():
             found = np.concatenate(seen)
-            for row in range(DEPTH):
-                cell, n = np.unique(cells(found, row, width), return_counts=True)
+            turn = pass_of(found, passes)
+            for p, row in [(p, row) for p in range(passes) for row in range(DEPTH)]:
+                cell, n = np.unique(cells(found[turn == p], row, width), return_counts=True)
                 cut = np.searchsorted(cell, np.arange(0, width + span, span))
                 for r in range(len(cut) - 1):
                     part, times = cell[cut[r] : cut[r + 1]] - r * span, n[cut[r] : cut[r + 1]]
                     if len(part):
                         packed = np.diff(part[times == 1], prepend=0), np.diff(part[times > 1], prepend=0), times[times > 1]
                         blobs = [pa.array([zlib.compress(x.astype(np.uint32).tobytes(), 1)], pa.binary()) for x in packed]
-                        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([r], pa.int32()), *blobs], ["row", "range", "once", "more", "times"])
+                        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in (p, row, r)), *blobs], ["pass", "row", "range", "once", "more", "times"])
             seen.clear()
 
         held = 0
@@ -114,11 +132,17 @@ def repeated_cells(docs: DataFrame, width: int, window: int = WINDOW) -> list[tu
             counts[np.cumsum(unpacked(once))] += 1
             counts[np.cumsum(unpacked(more))] += unpacked(times)
         bits = [pa.array([np.packbits(counts >= least).tobytes()], pa.binary()) for least in (2, HOT)]
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), *bits], ["row", "range", "bits", "hot"])
+        return pa.Table.from_arrays([*(pa.array([x.as_py()], pa.int32()) for x in key), *bits], ["pass", "row", "range", "bits", "hot"])
+
+    parts = docs.select("text").mapInArrow(count, "pass int, row int, range int, once binary, more binary, times binary")
+    return parts.groupBy("pass", "row", "range").applyInArrow(merge, "pass int, row int, range int, bits binary, hot binary")
 
-    parts = docs.select("text").mapInArrow(count, "row int, range int, once binary, more binary, times binary")
+
+def gathered(merged: DataFrame, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The bitmaps of one pass's rows of repeated_cells, put together on the driver: width/4 bytes a row, which MAX_CELLS bounds."""
+    span = min(RANGE_CELLS, width)
     out = [(np.zeros(width // 8, np.uint8), np.zeros(width // 8, np.uint8)) for _ in range(DEPTH)]
-    for r in parts.groupBy("row", "range").applyInArrow(merge, "row int, range int, bits binary, hot binary").toLocalIterator():
+    for r in merged.toLocalIterator():
         for into, name in zip(out[r["row"]], ("bits", "hot")):
             into[r["range"] * span // 8 :][: span // 8] = np.frombuffer(r[name], np.uint8)
     return out
@@ -136,22 +160,22 @@ def _set(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
 
 
-def repeated_windows(docs: DataFrame, sketch: list[tuple[np.ndarray, np.ndarray]], width: int, window: int = WINDOW) -> DataFrame:
-    """(doc_id, starts): words of docs(doc_id, text) at which a window starts that also starts earlier; some rows per document.
+def repeated_windows(docs: DataFrame, shared: Broadcast, width: int, window: int = WINDOW, turn: int = 0, passes: int = 1) -> DataFrame:
+    """(doc_id, starts): words of docs(doc_id, text) at which a window of pass `turn` starts that also starts earlier; some rows per document. `shared` holds the pass's bitmaps.
 
     A task keeps, per shard of texts, the first place of each candidate window: any later one is repeated whatever
     other tasks hold, and is returned at once. First places are grouped over all tasks by anchor, a row holding
     the windows of one place of an anchor (of a hot anchor, one window); there all but the earliest are returned.
     """
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast([(b.tobytes(), hot.tobytes()) for b, hot in sketch])
-
     def candidates(batches):
         hasher, merged = Hasher(), [[np.frombuffer(b, np.uint8) for b in row] for row in shared.value]
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
             for lo, hi, _, _, _, per, h in _texts(batch, hasher):
                 start, at, shingle = anchors(h, per, window)
+                if passes > 1:
+                    mine = pass_of(shingle[at], passes) == turn
+                    start, at = start[mine], at[mine]
                 ok, hot = np.ones(len(start), bool), np.ones(len(start), bool)
                 for row, (twice, often) in enumerate(merged):
                     cell = cells(shingle[at], row, width)
@@ -231,16 +255,35 @@ def repeated_windows(docs: DataFrame, sketch: list[tuple[np.ndarray, np.ndarray]
     return first.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(losers, "doc_id long, starts array<int>")
 
 
-def _with_starts(docs: DataFrame, window: int, max_cells: int) -> DataFrame:
+def _with_starts(docs: DataFrame, window: int, max_cells: int, max_passes: int) -> DataFrame:
     """docs(id, text, ...) with starts, the words of each document at which a repeated window starts; null where there is none."""
     n_chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    width = sketch_width(int(n_chars) // 6, max_cells)
+    passes, width = sketch_size(int(n_chars) // 6, max_cells, max_passes)
     keyed = docs.select(F.col("id").alias("doc_id"), "text")
-    sketch = repeated_cells(keyed, width, window)
-    found = repeated_windows(keyed, sketch, width, window).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    found = _repeats(keyed, width, window, passes).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     return docs.join(found.withColumnRenamed("doc_id", "id"), "id", "left")
 
 
+def _repeats(docs: DataFrame, width: int, window: int, passes: int) -> DataFrame:
+    """repeated_windows over all passes. Of several, each is written before the next, so that executors hold one pass's bitmaps."""
+    sc = docs.sparkSession.sparkContext
+    merged = repeated_cells(docs, width, window, passes)
+
+    def broadcast(sketches):
+        return sc.broadcast([(b.tobytes(), hot.tobytes()) for b, hot in gathered(sketches, width)])
+
+    if passes == 1:
+        return repeated_windows(docs, broadcast(merged), width, window)
+    parts = []
+    with temporary_tables(docs.sparkSession):
+        merged = written(merged, "sketches")
+        for turn in range(passes):
+            shared = broadcast(merged.where(F.col("pass") == turn))
+            parts.append(written(repeated_windows(docs, shared, width, window, turn, passes), "repeats", keep=True))
+            shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _kept(text: pa.Array, starts: pa.Array, window: int):
     """For each text: number of words, number removed, the kept words joined by single spaces (bytes)."""
     n_starts = np.asarray(starts.value_lengths().fill_null(0)).astype(np.int64)
@@ -269,7 +312,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(_id_of(text).alias("id"), "doc_id", text.alias("text"))
 
 
-def removal_report(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CELLS) -> DataFrame:
+def removal_report(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CELLS, max_passes: int = MAX_PASSES) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256.
 
     Words are split at white space and compared unchanged. Null text: no words. A text of fewer words than a window
@@ -286,11 +329,11 @@ def removal_report(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_C
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    rows = _with_starts(_keyed(docs), window, max_cells)
+    rows = _with_starts(_keyed(docs), window, max_cells, max_passes)
     return rows.select("doc_id", "text", "starts").mapInArrow(finish, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CELLS) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CELLS, max_passes: int = MAX_PASSES) -> DataFrame:
     """docs, all columns kept, with each text that loses words replaced by its kept words joined by single spaces.
 
     Texts that lose none stay as they are, null ones null. Other cases are as in removal_report.
@@ -305,7 +348,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_CEL
     packed = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     packed = packed.select("row", _id_of(text).alias("id"), text.alias("text"))
-    rows = _with_starts(packed, window, max_cells).select("text", "starts", "row")
+    rows = _with_starts(packed, window, max_cells, max_passes).select("text", "starts", "row")
     out = rows.mapInArrow(cut, f"row {rows.schema['row'].dataType.simpleString()}, kept string")
     return out.select(*[(F.coalesce("kept", F.col("row").getField(c)) if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 

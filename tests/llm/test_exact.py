@@ -135,8 +135,12 @@ def test_substrings(spark, docs, no_docs, plain):
         gone = {p for p in removed[i] if p < len(w)}
         expected[(i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone)))] += 1
     assert collected(substrings.removal_report(docs)) == expected
-    # a sketch far too small lets more windows pass and changes nothing
-    assert collected(substrings.removal_report(docs, max_cells=1 << 16)) == expected
+    # a sketch far too small lets more windows pass, and passes by anchor hash part the windows; neither changes anything
+    n_windows = sum(len(t or "") for _, t in plain) // 6
+    assert substrings.sketch_size(n_windows, 1 << 10, 1)[0] == 1 < substrings.sketch_size(n_windows, 1 << 12, 5)[0]
+    assert collected(substrings.removal_report(docs, max_cells=1 << 10, max_passes=1)) == expected
+    assert collected(substrings.removal_report(docs, max_cells=1 << 12, max_passes=5)) == expected
+    assert collected(substrings.deduplicated(docs, max_cells=1 << 12, max_passes=5).select("doc_id", "text")) == collected(substrings.deduplicated(docs).select("doc_id", "text"))
     out = substrings.deduplicated(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert substrings.removal_report(no_docs).count() == 0
@@ -150,6 +154,13 @@ def test_sketch_counts_never_fall_short(spark):
     assert collected(substrings.removal_report(docs, window=3)) == brute_removal(docs, 3)
 
 
+def test_sketch_load_stays_bounded_over_passes():
+    for n_windows in (0, 10**6, 5 * 10**9 // 7, 5 * 10**9):
+        passes, width = substrings.sketch_size(n_windows)
+        assert 1 <= passes <= substrings.MAX_PASSES and width <= substrings.MAX_CELLS
+        assert n_windows / 7 / passes <= width / 2 + 1
+
+
 def test_windows_of_hot_anchors_are_spread(spark, monkeypatch):
     """A common line among other words each time, and within a common passage; every anchor counts as hot from three places on."""
     import random
