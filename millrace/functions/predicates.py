@@ -153,3 +153,43 @@ def boundary_faults(phases: DataFrame, boundaries: DataFrame, total: Column) ->
     off = rows.join(boundaries, ["manifest", "upto"], "left_anti").select("manifest", "pos", F.lit("off boundary").alias("fault"))
     short = rows.where(F.col("next").isNull() & (F.col("upto") != total)).select("manifest", "pos", F.lit("not the total").alias("fault"))
     return back.unionByName(off).unionByName(short)
+
+
+def contract_tags(*rules: tuple[str, Column]) -> Column:
+    """The tags, in the rules' order, whose condition holds; unknown does not."""
+    return F.array_compact(F.array(*[F.when(condition, F.lit(tag)) for tag, condition in rules]))
+
+
+def offered_tags(*rules: tuple[str, Column, Column]) -> Column:
+    """The tags, in the rules' order, that a host offers, each followed by its companion tags."""
+    none = F.array().cast("array<string>")
+    return F.flatten(F.array(*[F.when(condition, F.concat(F.array(F.lit(tag)), F.coalesce(companions, none))).otherwise(none) for tag, condition, companions in rules]))
+
+
+def remedies(tags: Column, *rules: tuple[str, str]) -> Column:
+    """The distinct remedies of those tags, in the order of the rules (tag, remedy)."""
+    return F.array_distinct(contract_tags(*[(remedy, F.array_contains(tags, tag)) for tag, remedy in rules if remedy]))
+
+
+def presence_status(status: Column, reason: Column, by: Column, unix: Column, known: Sequence[str], active: str = "active") -> Column:
+    """A host's (status, reason, by, unix, fault).
+
+    No status is active, and an active host has no detail. Any other needs a reason and an author that are not blank and a
+    finite time; an unknown status or missing provenance is a fault, which leaves the rest null.
+    """
+    stated = F.coalesce(status, F.lit(active))
+    wanting = F.concat_ws(
+        "; ",
+        F.when(F.coalesce(F.trim(reason) == "", F.lit(True)), "reason"),
+        F.when(F.coalesce(F.trim(by) == "", F.lit(True)), "by"),
+        F.when(F.coalesce(F.isnan(unix) | (F.abs(unix) == float("inf")), F.lit(True)), "unix"),
+    )
+    fault = F.when(~stated.isin(*known), F.concat(F.lit("unknown status "), stated)).when((stated != active) & (wanting != ""), F.concat(F.lit("without "), wanting))
+    detailed = fault.isNull() & (stated != active)
+    return F.struct(
+        F.when(fault.isNull(), stated).alias("status"),
+        F.when(detailed, F.trim(reason)).alias("reason"),
+        F.when(detailed, F.trim(by)).alias("by"),
+        F.when(detailed, unix).alias("unix"),
+        fault.alias("fault"),
+    )

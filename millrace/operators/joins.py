@@ -206,3 +206,49 @@ def attribution(files: DataFrame, *claims: tuple[str, DataFrame]) -> DataFrame:
         flags.append(F.when(F.col(f"has_{name}"), name))
     rows = rows.withColumn("owner", F.coalesce(*flags, F.lit("unattributed")))
     return rows.groupBy("owner").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+
+
+def first_owners(issues: DataFrame, label: str) -> DataFrame:
+    """(key, number): per key the lowest-numbered issue(number, pull_request, labels, keys) that names it, has the label and is no pull request."""
+    owning = issues.where(F.array_contains("labels", label) & ~F.coalesce("pull_request", F.lit(False)))
+    return owning.select("number", F.explode("keys").alias("key")).groupBy("key").agg(F.min("number").alias("number"))
+
+
+def issue_plans(found: DataFrame, owned: DataFrame, complete: Column) -> DataFrame:
+    """Rows of found(key, ...) to open an issue for: none that has an owner, and none of a census that is not known to be complete."""
+    return found.where(F.coalesce(complete, F.lit(False))).join(owned.select("key"), "key", "left_anti")
+
+
+def closed_chains(waiting: DataFrame, blockers: DataFrame, states: DataFrame) -> DataFrame:
+    """Of waiting(key, complete) those whose blockers(key, blocker) are fully listed, at least one, and all closed by states(blocker, state); an unknown state is not closed."""
+    closed = blockers.join(states, "blocker", "left").groupBy("key").agg(F.bool_and(F.coalesce(F.col("state") == "CLOSED", F.lit(False))).alias("closed"), F.count(F.lit(1)).alias("blockers"))
+    return waiting.where(F.coalesce("complete", F.lit(False))).join(closed.where("closed"), "key").select("key", "blockers")
+
+
+def parent_actions(links: DataFrame, found: DataFrame, receipts: DataFrame) -> DataFrame:
+    """(action, issue, target, id, status): what to write, each row held against its review.
+
+    links(key, parent, source, parent_state, root, faults): under a closed parent an issue moves to its open root if the chain
+    has no fault, else a parent must be made; a parent named in the text alone becomes a native link; an issue without a
+    parent that is no one's parent needs one. found(kind, key, candidate, verified): labels of dead chains go, verified
+    fixes close. A proposed row without a receipt(id, reviewed) waits for one, or for its sources to be reviewed.
+    """
+    parents = links.where("parent IS NOT NULL").select(F.col("parent").alias("key")).distinct().withColumn("has_children", F.lit(True))
+    known, sound = F.col("parent_state").isNotNull(), F.coalesce(F.col("faults") == 0, F.lit(False))
+    moved = F.coalesce(F.col("root") != F.col("key"), F.lit(False)) & sound
+    closed = F.coalesce(F.col("parent_state") == "CLOSED", F.lit(False))
+    alone = (F.col("source") == "none") & F.col("has_children").isNull()
+    action = F.when(closed, F.when(moved, "reparent").otherwise("create_parent")).when((F.col("source") == "text") & known & sound, "native_sub_issue").when(alone, "link_parent")
+    target = F.when(F.col("action") == "reparent", F.col("root")).when(F.col("action") == "native_sub_issue", F.col("parent"))
+    proposed = F.when(F.col("action").isin("reparent", "native_sub_issue"), "proposed").otherwise("needs_parent_design")
+    linked = links.join(parents, "key", "left").withColumn("action", action).where("action IS NOT NULL")
+    rows = linked.select("action", F.col("key").alias("issue"), target.alias("target"), proposed.alias("status"), F.lit(None).cast("string").alias("candidate"))
+    act = F.when(F.col("kind") == "dead_blocked_chain", "remove_blocked_labels").when((F.col("kind") == "default_branch_fix") & F.col("verified"), "close")
+    acts = found.withColumn("action", act).where("action IS NOT NULL")
+    rows = rows.unionByName(acts.select("action", F.col("key").alias("issue"), F.lit(None).cast(links.schema["key"].dataType).alias("target"), F.lit("proposed").alias("status"), "candidate"))
+    identity = F.to_json(F.array(F.col("action"), F.col("issue").cast("string"), F.col("target").cast("string")))
+    rows = rows.withColumn("id", F.substring(F.sha2(identity, 256), 1, 16))
+    held = receipts.select(F.col("id").alias("receipt"), "reviewed")
+    rows = rows.join(held, F.coalesce("candidate", "id") == F.col("receipt"), "left")
+    waits = F.when(F.col("receipt").isNull(), "needs_hindsight").when(~F.coalesce("reviewed", F.lit(False)), "needs_hindsight_source_review").otherwise("proposed")
+    return rows.select("action", "issue", "target", "id", F.when(F.col("status") == "proposed", waits).otherwise(F.col("status")).alias("status"))

@@ -454,3 +454,79 @@ def rotated_round(spark, sf_dir):
 def window_days(spark, sf_dir):
     """The days that a window touches, across a leap day."""
     return spark.createDataFrame([(d,) for d in series.days(1709150400.0, 1709251200.0)], "day date")
+
+
+@R.query("""
+SELECT p_partkey, array_to_string(declared, ',') AS declared, array_to_string(offered, ',') AS offered,
+  array_to_string(CASE WHEN p_size > 25 THEN ['wait'] ELSE [] END || CASE WHEN p_partkey % 3 = 0 THEN ['install'] ELSE [] END || CASE WHEN p_size <= 25 AND p_size % 2 = 0 THEN ['wait'] ELSE [] END, ',') AS remedies
+FROM (SELECT *, CASE WHEN p_size > 25 THEN ['progress'] ELSE [] END || CASE WHEN p_partkey % 3 = 0 THEN ['image'] ELSE [] END || CASE WHEN p_size % 2 = 0 THEN ['gang'] ELSE [] END AS declared,
+  ['progress'] || CASE WHEN p_partkey % 5 = 0 THEN ['canary', 'generation:' || p_brand] ELSE [] END AS offered FROM part)
+""")
+def contract_tags(spark, sf_dir):
+    """Tags that a claim declares and a host offers, by ordered rules, and the remedies of the declared ones."""
+    p = load(spark, sf_dir, "part")
+    none = F.array().cast("array<string>")
+    declared = P.contract_tags(("progress", F.col("p_size") > 25), ("image", F.col("p_partkey") % 3 == 0), ("gang", F.col("p_size") % 2 == 0))
+    offered = P.offered_tags(("progress", F.lit(True), none), ("canary", F.col("p_partkey") % 5 == 0, F.array(F.concat(F.lit("generation:"), "p_brand"))))
+    remedies = P.remedies(F.col("declared"), ("progress", "wait"), ("image", "install"), ("gang", "wait"))
+    return p.select("p_partkey", declared.alias("declared"), offered.alias("offered")).select("p_partkey", *[F.array_join(c, ",").alias(n) for c, n in ((F.col("declared"), "declared"), (F.col("offered"), "offered"), (remedies, "remedies"))])
+
+
+@R.query("""
+SELECT c_custkey, CASE WHEN fault IS NULL THEN stated END AS status, CASE WHEN fault IS NULL AND stated <> 'active' THEN trim(reason) END AS reason, CASE WHEN fault IS NULL AND stated <> 'active' THEN c_acctbal END AS since, fault
+FROM (SELECT *, CASE WHEN stated NOT IN ('active', 'retired', 'held') THEN 'unknown status ' || stated WHEN stated <> 'active' AND (trim(reason) = '' OR c_custkey % 7 = 0) THEN 'without ' || concat_ws('; ', CASE WHEN trim(reason) = '' THEN 'reason' END, CASE WHEN c_custkey % 7 = 0 THEN 'by' END) END AS fault
+FROM (SELECT *, coalesce(CASE c_custkey % 5 WHEN 0 THEN 'retired' WHEN 1 THEN 'held' WHEN 2 THEN 'lost' WHEN 3 THEN 'active' END, 'active') AS stated, CASE WHEN c_nationkey > 5 THEN ' moved ' ELSE '  ' END AS reason FROM customer))
+""")
+def presence_statuses(spark, sf_dir):
+    """Hosts' presence with its provenance, or what is wrong with it."""
+    c = load(spark, sf_dir, "customer")
+    status = F.expr("CASE c_custkey % 5 WHEN 0 THEN 'retired' WHEN 1 THEN 'held' WHEN 2 THEN 'lost' WHEN 3 THEN 'active' END")
+    reason = F.when(F.col("c_nationkey") > 5, " moved ").otherwise("  ")
+    by = F.when(F.col("c_custkey") % 7 != 0, "operator")
+    got = P.presence_status(status, reason, by, F.col("c_acctbal").cast("double"), ("active", "retired", "held"))
+    return c.select("c_custkey", got.alias("s")).select("c_custkey", "s.status", "s.reason", F.col("s.unix").alias("since"), "s.fault")
+
+
+@R.query("""
+WITH i AS (SELECT o_orderkey AS number, unnest([o_custkey, o_custkey + 1]) AS key FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F'),
+f AS (SELECT key, min(number) AS number FROM i GROUP BY key)
+SELECT c_custkey AS key, number, c_nationkey > 3 AND number IS NULL AS planned FROM customer LEFT JOIN f ON key = c_custkey
+""")
+def issue_plans(spark, sf_dir):
+    """First owners of nodes, and the nodes of complete censuses that have none."""
+    o, c = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "key")
+    issues = o.select(F.col("o_orderkey").alias("number"), (F.col("o_orderstatus") == "F").alias("pull_request"), F.array("o_orderpriority").alias("labels"), F.array(F.col("o_custkey"), F.col("o_custkey") + 1).alias("keys"))
+    owners = J.first_owners(issues, "1-URGENT")
+    plans = J.issue_plans(c.select("key", "c_nationkey"), owners, F.col("c_nationkey") > 3).select("key", F.lit(True).alias("planned"))
+    return c.select("key").join(owners, "key", "left").join(plans, "key", "left").select("key", "number", F.coalesce("planned", F.lit(False)).alias("planned"))
+
+
+@R.query("""
+SELECT o_orderkey AS key, count(*) AS blockers FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey <> 3
+WHERE o_custkey % 4 <> 0 GROUP BY 1 HAVING bool_and(coalesce(s_acctbal > 2000, false))
+""")
+def closed_chains(spark, sf_dir):
+    """Issues whose blockers are fully listed and all known to be closed."""
+    o, li, s = (load(spark, sf_dir, t) for t in ("orders", "lineitem", "supplier"))
+    states = s.where("s_nationkey <> 3").select(F.col("s_suppkey").alias("blocker"), F.when(F.col("s_acctbal") > 2000, "CLOSED").otherwise("OPEN").alias("state"))
+    waiting = o.select(F.col("o_orderkey").alias("key"), F.when(F.col("o_custkey") % 8 != 0, F.col("o_custkey") % 4 != 0).alias("complete"))
+    return J.closed_chains(waiting, li.select(F.col("l_orderkey").alias("key"), F.col("l_suppkey").alias("blocker")), states)
+
+
+@R.query("""
+WITH l AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 3 > 0 THEN c_custkey // 2 END AS parent, CASE c_custkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'text' ELSE 'native' END AS source, c_custkey // 4 AS root, c_custkey % 2 AS faults FROM customer),
+j AS (SELECT l.*, CASE WHEN p.c_acctbal > 3000 THEN 'CLOSED' WHEN p.c_custkey IS NOT NULL THEN 'OPEN' END AS state FROM l LEFT JOIN customer p ON p.c_custkey = parent),
+a AS (SELECT key, parent, root, CASE WHEN state = 'CLOSED' THEN CASE WHEN faults = 0 THEN 'reparent' ELSE 'create_parent' END WHEN source = 'text' AND state = 'OPEN' AND faults = 0 THEN 'native_sub_issue' WHEN source = 'none' AND key NOT IN (SELECT parent FROM l WHERE parent IS NOT NULL) THEN 'link_parent' END AS action FROM j),
+r AS (SELECT action, key AS issue, CASE action WHEN 'reparent' THEN root WHEN 'native_sub_issue' THEN parent END AS target, action IN ('reparent', 'native_sub_issue') AS proposed, CAST(NULL AS VARCHAR) AS candidate FROM a WHERE action IS NOT NULL
+UNION ALL SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'remove_blocked_labels' ELSE 'close' END, s_suppkey, NULL, true, 'c' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0 OR s_nationkey > 9),
+d AS (SELECT *, substr(sha256('["' || action || '","' || issue || '",' || coalesce('"' || target || '"', 'null') || ']'), 1, 16) AS id FROM r)
+SELECT action, CAST(issue AS BIGINT) AS issue, CAST(target AS BIGINT) AS target, id, CASE WHEN NOT proposed THEN 'needs_parent_design' WHEN candidate IS NULL OR substr(candidate, 2)::BIGINT % 5 > 2 THEN 'needs_hindsight' WHEN substr(candidate, 2)::BIGINT % 5 = 0 THEN 'needs_hindsight_source_review' ELSE 'proposed' END AS status FROM d
+""")
+def parent_actions(spark, sf_dir):
+    """What to write about parents, labels and fixes, held against the receipts of its review."""
+    c, s = load(spark, sf_dir, "customer"), load(spark, sf_dir, "supplier")
+    states = c.select(F.col("c_custkey").cast("long").alias("parent"), F.when(F.col("c_acctbal") > 3000, "CLOSED").otherwise("OPEN").alias("parent_state"))
+    links = c.selectExpr("CAST(c_custkey AS LONG) AS key", "CASE WHEN c_custkey % 3 > 0 THEN c_custkey DIV 2 END AS parent", "CASE c_custkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'text' ELSE 'native' END AS source", "c_custkey DIV 4 AS root", "c_custkey % 2 AS faults")
+    found = s.selectExpr("CAST(s_suppkey AS LONG) AS key", "CASE WHEN s_suppkey % 2 = 0 THEN 'dead_blocked_chain' ELSE 'default_branch_fix' END AS kind", "concat('c', s_suppkey) AS candidate", "s_nationkey > 9 AS verified")
+    receipts = s.where("s_suppkey % 5 < 3").selectExpr("concat('c', s_suppkey) AS id", "s_suppkey % 5 > 0 AS reviewed")
+    return J.parent_actions(links.join(states, "parent", "left"), found, receipts)

@@ -467,3 +467,28 @@ def test_deadlines_and_coalescing(spark):
     got = W.coalesced_runs(spark.createDataFrame([("k", *e) for e in events], "key string, kind string, at double"), ["key"], "at").orderBy("at").collect()
     assert [round(r.retry_at - r.at, 3) for r in got if r.kind == "failed"] == [0.25, 0.5, 1.0, 2.0, 4.0, 5.0, 5.0, 5.0, 0.25]
     assert [(r.at, r.coalesced) for r in got if r.kind == "changed"] == [(1.0, False), (2.0, True), (20.0, True), (23.0, False)] and [r.at for r in got if r.state == "clean"] == [22.0]
+
+
+def test_parent_actions_and_plans_of_nothing(spark):
+    """Unknown states close nothing, unknown completeness plans nothing, and empty tables give no rows."""
+    links = spark.createDataFrame([(1, None, "none", None, 1, 0), (2, 1, "text", "OPEN", 1, 0), (3, 9, "text", None, None, None), (4, 1, "native", "CLOSED", None, 0), (5, 1, "text", "OPEN", 1, 1)], "key long, parent long, source string, parent_state string, root long, faults int")
+    found = spark.createDataFrame([("default_branch_fix", 2, "a", None), ("default_branch_fix", 3, "b", True), ("dead_blocked_chain", 4, "c", None), ("claim_without_evidence", 4, "d", None)], "kind string, key long, candidate string, verified boolean")
+    receipts = spark.createDataFrame([("b", True), ("c", None)], "id string, reviewed boolean")
+    rows = {(r.action, r.issue): (r.target, r.status) for r in J.parent_actions(links, found, receipts).collect()}
+    assert rows == {("native_sub_issue", 2): (1, "needs_hindsight"), ("create_parent", 4): (None, "needs_parent_design"), ("close", 3): (None, "proposed"), ("remove_blocked_labels", 4): (None, "needs_hindsight_source_review")}
+    assert J.parent_actions(links.limit(0), found.limit(0), receipts.limit(0)).count() == 0
+    nodes = spark.createDataFrame([("n", True), ("m", None), ("o", True)], "key string, complete boolean")
+    issues = spark.createDataFrame([(7, None, ["own"], ["o", "x"]), (3, True, ["own"], ["o", "n"]), (9, False, ["own"], ["o"]), (1, False, None, ["n"])], "number long, pull_request boolean, labels array<string>, keys array<string>")
+    owners = J.first_owners(issues, "own")
+    assert {tuple(r) for r in owners.collect()} == {("o", 7), ("x", 7)}
+    assert [r.key for r in J.issue_plans(nodes, owners, F.col("complete")).collect()] == ["n"]
+    blockers = spark.createDataFrame([("n", "b1"), ("o", "b1"), ("o", "b2"), ("m", "b1")], "key string, blocker string")
+    states = spark.createDataFrame([("b1", "CLOSED"), ("b2", None)], "blocker string, state string")
+    assert [tuple(r) for r in J.closed_chains(nodes, blockers, states).collect()] == [("n", 1)]
+
+
+def test_presence_needs_provenance(spark):
+    rows = [(None, None, None, None), ("held", " why ", "who", 5.0), ("held", "why", "who", float("inf")), ("held", None, " ", None), ("gone", "why", "who", 1.0)]
+    hosts = spark.createDataFrame(rows, "status string, reason string, by string, unix double")
+    got = [tuple(r.s) for r in hosts.select(P.presence_status(F.col("status"), F.col("reason"), F.col("by"), F.col("unix"), ("active", "held")).alias("s")).collect()]
+    assert got == [("active", None, None, None, None), ("held", "why", "who", 5.0, None), (None,) * 4 + ("without unix",), (None,) * 4 + ("without reason; by; unix",), (None,) * 4 + ("unknown status gone",)]
