@@ -67,9 +67,12 @@ def _integral(df: DataFrame, column: str) -> bool:
 
 
 def interval_join(points: DataFrame, at: str, spans: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    """Points in half-open spans [start, end) of one numeric axis, joined over buckets of `width`: no pair outside a shared bucket is compared."""
+    """Points in half-open spans [start, end) of one numeric axis, joined over buckets of `width`: no pair outside a shared bucket is compared.
+
+    A span is in every bucket from its start's to its end's, the last included: on an axis with fractions points just below an end may lie in it.
+    """
     p = points.withColumn("bucket", F.floor(F.col(at) / width))
-    s = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)))).where(F.col(start) < F.col(end))
+    s = spans.where(F.col(start) < F.col(end)).withColumn("bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
     return p.join(s, "bucket").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("bucket")
 
 

@@ -240,6 +240,15 @@ def test_joins(spark):
     assert J.dangling(h, h.limit(0), True).count() == 1 and J.dangling(h, h.limit(0), False).count() == 0
 
 
+def test_interval_join_on_fractions(spark):
+    """Ends less than 1 beyond a bucket's border, ends on it, empty and negative spans, nulls, against every pair."""
+    points = [-100.5, -100.0, -0.25, 0.0, 99.5, 99.99, 100.0, 100.25, 199.99, 200.0, None]
+    spans = [(50.0, 100.5), (50.0, 100.0), (99.99, 100.26), (-150.0, -99.75), (-1.0, 200.01), (100.0, 100.0), (120.0, 80.0), (None, 1.0), (1.0, None)]
+    p, s = spark.createDataFrame(list(enumerate(points)), "i int, x double"), spark.createDataFrame([(k, *v) for k, v in enumerate(spans)], "k int, lo double, hi double")
+    got = [(r.k, r.i) for r in J.interval_join(p, "x", s, "lo", "hi", 100).collect()]
+    assert sorted(got) == [(k, i) for k, (lo, hi) in enumerate(spans) for i, x in enumerate(points) if None not in (lo, hi, x) and lo <= x < hi]
+
+
 def test_aggregates(spark):
     ns = spark.createDataFrame([("g", "s", 5), ("g", "s", 7), ("g", None, 1), ("g", None, 1)], "g string, space string, v int")
     assert A.deduplicated_sum(ns.withColumnRenamed("space", "ns"), "g", "ns", "v").first().v == 9
