@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -246,15 +244,3 @@ def joint_need(needs: DataFrame, reach_: DataFrame, caps: DataFrame) -> DataFram
             flow += push
 
     return links.groupBy("tier").applyInPandas(solve, f"tier {dict(needs.dtypes)['tier']}, need long, served long")
-
-
-def title_ratio(a, b):
-    """Likeness of two titles (a pandas UDF: no built-in has the matching-blocks ratio)."""
-    import difflib
-
-    @F.pandas_udf("double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            yield pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)])
-
-    return run(a, b)

@@ -167,6 +167,46 @@ def test_alike_titles_meet_whatever_their_first_word_and_length(spark):
     assert {r.node: r.component for r in got.collect()} == expected
 
 
+def test_alike_titles_over_many_tiles(spark):
+    """Against every pair, in tiles of 8 to all: lengths around a number's 64 places and beyond 200 (where the ratio has junk), letters of four bytes, turned words, a null rep."""
+    import difflib
+
+    rng = random.Random(7)
+    titles = []
+    for n in (12, 31, 62, 66, 130, 230):
+        for _ in range(7):
+            base = "".join(rng.choice("abcdefgh éß𝒳𝒴") for _ in range(n))
+            titles.append(base)
+            for edits in (1, n // 25, n // 12, n // 9):
+                t = list(base)
+                for _ in range(edits):
+                    at = rng.randrange(len(t))
+                    t[at : at + rng.randrange(2)] = rng.choice("abc𝒳")
+                titles.append("".join(t))
+            titles.append(base[n // 2 :] + base[: n // 2])
+    titles = list(dict.fromkeys(titles))
+    root = list(range(len(titles)))
+    for i in range(len(titles)):
+        for j in range(i + 1, len(titles)):
+            a, b = titles[i], titles[j]
+            if 2 * min(len(a), len(b)) >= 0.92 * (len(a) + len(b)) and difflib.SequenceMatcher(None, a, b).ratio() >= 0.92:
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    expected = {i: r for i, r in enumerate(root) if root.count(r) > 1}
+    assert len(expected) > 80
+    reps = spark.createDataFrame([*enumerate(titles), (None, titles[0] + "a")], "rep int, t string")
+    for tile in (8, 40, None):
+        assert {r.node: r.component for r in G.connected(K.alike_titles(reps, 0.92, tile)).collect()} == expected
+    assert K.alike_titles(reps.limit(0), 0.92).count() == 0
+
+
+def test_a_family_of_alike_titles_makes_no_row_per_pair(spark):
+    titles = [(i, f"the worker of shard {i:04d} lost its lease while the host drained") for i in range(300)]
+    reps = spark.createDataFrame(titles, "rep int, t string")
+    edges = K.alike_titles(reps, 0.92)
+    assert edges.count() == 299 and {r.component for r in G.connected(edges).collect()} == {0}
+
+
 def test_open_ancestors(spark):
     """Chains, cycles with and without open members, unknown parents, against a walk."""
     import random
