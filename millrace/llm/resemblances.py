@@ -14,6 +14,7 @@ families at a cost in proportion to their size; at last all near pairs that are
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ PRINTS, NARROW, WIDE = 4, 20, 64
 TURNS, NEAR_PAIRS = 8, 16
 #: Bits of an odd sketch.
 ODD = 1024
+#: Numbers of 64 bits in the bitmap that says which texts may be needed: a row each, broadcast.
+BITMAP_WORDS = 1 << 18
 #: Classes of set sizes differ by this factor.
 SIZE_STEP = 1.02
 _SECOND = np.uint64(0x9E3779B97F4A7C15)
@@ -100,10 +103,23 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, grams array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose shingle sets, of texts(node, text), have this Jaccard similarity or more."""
+def texts_of(needed: DataFrame, ids: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, text), a row for each of needed(node), of classes(node, rep), whose text is that of a row of ids(doc_id, th, text) that rep names.
+
+    Most texts are not needed, so a bitmap of the needed ones' hashes goes to the texts, which are shuffled only where it has their
+    bit: all needed ones and, of the others, as many as the bitmap is full. Repeated rows are one before the shuffle.
+    """
+    wanted = written(classes.select("node", "rep.doc_id", "rep.th").join(needed, "node", "left_semi"), "wanted")
+    word, bit = F.pmod(F.xxhash64("doc_id", "th"), F.lit(BITMAP_WORDS)), F.expr("shiftleft(1L, CAST(pmod(xxhash64(th, doc_id), 64) AS INT))")
+    bitmap = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = ids.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0).select("doc_id", "th", "text")
+    return found.dropDuplicates(["doc_id", "th"]).join(wanted, ["doc_id", "th"]).select("node", "text")
+
+
+def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have this Jaccard similarity or more; texts gives (node, text), a row for each of a table's nodes."""
     needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    sets = written(shingle_sets(texts.join(needed, "node", "left_semi")).dropDuplicates(["node"]), "shingles")
+    sets = written(shingle_sets(texts(needed)), "shingles")
     both = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     return both.withColumn("common", common).where(F.col("common") >= similarity * (F.size("ga") + F.size("gb") - F.col("common")) - 1e-9).select("a", "b")
@@ -198,7 +214,7 @@ def compared(live: DataFrame, every: bool, with_odd: bool, similarity: float = S
     return pairs.mapInArrow(run, "a long, b long" if every else "x long, near long, bits long, others long")
 
 
-def linked(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, tile: int | None = None) -> DataFrame | None:
+def linked(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, tile: int | None = None) -> DataFrame | None:
     """(node, component) of the nodes of classes(node, n, odd, prints) that a link of the similarity or more joins to others; None if there is none.
 
     A set of n < s / (1 - s) shingles is as similar to no other, so it is left out. A round of nearest pairs comes first and shows which
@@ -251,8 +267,7 @@ def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, tile: in
     units = written(units.withColumn("key", F.concat_ws(",", "h1", "h2", "n")).drop("h1", "h2"), "units")
     classes = units.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count(F.lit(1)).alias("units"), *[F.first(c).alias(c) for c in ("n", "odd", "prints")])
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    texts = ids.join(classes.select("node", "rep.doc_id", "rep.th"), ["doc_id", "th"]).select("node", "text")
-    reached = linked(classes.select("node", "n", "odd", "prints"), texts, similarity, tile)
+    reached = linked(classes.select("node", "n", "odd", "prints"), lambda needed: texts_of(needed, ids, classes), similarity, tile)
     named = classes.select("node", "key", "units", "rep")
     if reached is not None:
         stays = written(named.join(reached, "node").groupBy("component").agg(F.min("rep").alias("stays")).join(reached, "component").select("node", "stays"), "stays")

@@ -447,3 +447,26 @@ def test_families_join_in_turns(spark):
     for tile in (None, 32):
         got = sorted(r.doc_id for r in resemblances.distinct_documents(docs, tile=tile).collect())
         assert got == [0, len(chain), *range(len(chain) + len(family), len(chain) + len(family) + len(alike))]
+
+
+def test_only_needed_texts_are_shuffled(spark):
+    """A text per needed node, of repeated rows too, though doc_ids are shared; the shuffle holds few of the others."""
+    rng = random.Random(8)
+    rows = [(i // 2, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))) for i in range(400)]
+    ids = spark.createDataFrame(rows + rows[:7], "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) AS th", "text").repartition(3)
+    nodes = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "node long, doc_id long, text string")
+    classes = nodes.selectExpr("node", "struct(doc_id, xxhash64(text) AS th) AS rep").localCheckpoint()
+    needed = spark.createDataFrame([(3,), (4,), (5,), (399,), (7777,)], "node long").localCheckpoint()
+    ids = ids.localCheckpoint()
+    sc = spark.sparkContext
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    before = shuffled()
+    got = resemblances.texts_of(needed, ids, classes).collect()
+    assert sorted((r.node, r.text) for r in got) == [(i, rows[i][1]) for i in (3, 4, 5, 399)]
+    moved = sum(n for k, n in shuffled().items() if k not in before)
+    assert 0 < moved < sum(len(t) for _, t in rows) / 10
